@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,11 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
 
+    def release(self) -> None:
+        """Let go of shuffle files that only garbage still refers to; they are removed when the driver collects it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def hashed_sample(df: DataFrame, key: str, about: int, most: int | None = None) -> DataFrame:
     """About ``about`` rows spread evenly by a hash of the key; never over ``most`` (twice that by default)."""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
+    ngram_join,
     quality_rules,
     sharding,
+    token_store,
     url_filters,
 )
 
@@ -17,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_store": token_store.op1_token_store,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_url_filters": url_filters.op6_url_filters,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality_rules.op9_quality_rules,

@@ -6,16 +6,21 @@ n - ceil(0.75 n) + l shingles share l of them. Each document picks its own l: a
 candidates in its lists, but a pair must then share more of the prefix before it is verified. The estimated cost
 of both decides (:func:`prefix`). For a pair of documents with l and l' the lesser holds.
 
+What a pair must share follows from both sizes: if it shares c of the prefixes, its sets share at most c and what the
+prefixes leave of the one that has more left, and that must reach the overlap which the threshold asks of both sizes.
+Pairs that have only a passage in common fall out here.
+
 Steps, each a table in the shared folder:
 
 1. ``frequent``: counts of shingles over all documents, kept for those held often (an ordering hint: any list is right).
 2. ``signed``: each document's size, set id and prefix.
 3. ``shared``: prefix shingles that documents with different sets hold. Copies have one set id and so no links to make.
-4. Stars: in each list all sets are compared with a few centres instead of with one another. What a group of
+4. Short lists: all pairs are counted, and those that share enough are verified.
+5. Stars: in each long list all sets are compared with a few centres instead of with one another. What a group of
    near copies needs is so in proportion to its size. The verified links give first components.
-5. The rest: pairs of sets that are in one list but not yet in one component. In a list, only sets outside its
+6. The rest: pairs of sets that are in one long list but not yet in one component. In a list, only sets outside its
    largest component pair up with all others. Those that share enough of their prefixes are verified.
-6. Components of all links; each document gets the least doc_id of its own.
+7. Components of all links; each document gets the least doc_id of its own.
 
 Verification is exact: whole sets are intersected. No list, group or candidate is capped.
 
@@ -46,6 +51,8 @@ _LOW_BITS = 32
 MAX_MATCHES = 4
 #: Cost of verifying a candidate in units of reading one list entry.
 VERIFY_COST = 40.0
+#: Lists of up to this many sets are paired up in full; longer ones go by stars first.
+SHORT_LIST = 24
 #: Rounds of stars, with two centres a list each, before all remaining pairs are taken.
 STAR_ROUNDS = 3
 
@@ -164,22 +171,61 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold."""
-    of = lambda k: sizes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("na", "nb"))
-    both = near.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= THRESHOLD * (F.col("na") + F.col("nb") - common)).select("a", "b")
+#: Columns that a pair has of each of its sets: shingles, matches it asks for, entries in long lists.
+_OF_SET = ("n", "matches", "h")
+
+
+def _need() -> Column:
+    """The number of shared prefix shingles without which a pair (nx, matchesx, ny, matchesy) cannot reach the threshold."""
+    left = lambda k: F.expr(f"greatest(0, ({THRESHOLD} * n{k} + 99) div 100 - matches{k})")
+    overlap = F.expr(f"({THRESHOLD} * (nx + ny) + {99 + THRESHOLD}) div {100 + THRESHOLD}")
+    return F.greatest(overlap - F.greatest(left("x"), left("y")), F.least("matchesx", "matchesy").cast("long"))
+
+
+def _side(rows: DataFrame, k: str, *more: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(c + k) for c in ("cls", *_OF_SET, *more)))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) with c, the lists they met in, and what each side is, from one row a meeting."""
+    flip = F.col("clsx") > F.col("clsy")
+    ends = [F.when(flip, F.col("clsy")).otherwise(F.col("clsx")).alias("a"), F.when(flip, F.col("clsx")).otherwise(F.col("clsy")).alias("b")]
+    sides = [F.when(flip, F.col(c + o)).otherwise(F.col(c + k)).alias(c + k) for c in _OF_SET for k, o in (("x", "y"), ("y", "x"))]
+    return met.select(*ends, *sides).groupBy("a", "b").agg(F.count("*").alias("c"), *(F.max(c + k).alias(c + k) for c in _OF_SET for k in "xy"))
+
+
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of sets that meet in short lists and may share enough, those in long lists included."""
+    met = _side(lists, "x").join(_side(lists, "y"), "token").where((F.col("clsx") < F.col("clsy")) & _fits("nx", "ny"))
+    return _counted(met).where(F.col("c") + F.least("hx", "hy") >= _need()).select("a", "b")
 
 
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each list's sets with its two centres, the sets of least and greatest hash (of another hash each turn)."""
+    """Sets with the two centres of each list, the sets of least and greatest hash (of another hash each turn), if they meet often."""
+    of_set = F.struct("cls", *_OF_SET, "comp")
     h = F.xxhash64("cls", F.lit(turn))
-    ends = lists.groupBy("token").agg(F.min_by("cls", h).alias("lo"), F.max_by("cls", h).alias("hi"))
-    rows = lists.join(ends, "token")
-    ends = rows.select("cls", "comp", F.explode(F.array("lo", "hi")).alias("centre")).where("cls <> centre")
-    return ends.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    ends = lists.groupBy("token").agg(F.min_by(of_set, h).alias("lo"), F.max_by(of_set, h).alias("hi"))
+    met = _side(lists, "x", "comp").join(ends, "token").withColumn("y", F.explode(F.array("lo", "hi")))
+    met = met.select("clsx", *(c + "x" for c in _OF_SET), *(F.col(f"y.{c}").alias(c + "y") for c in ("cls", *_OF_SET)), (F.col("compx") != F.col("y.comp")).alias("open"))
+    # A quarter of what a pair needs in all is enough here: pairs that stars leave out come up again in the rest.
+    return _counted(met.where(F.col("open") & _fits("nx", "ny"))).where(4 * F.col("c") >= _need()).select("a", "b")
+
+
+def _open_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that meet in long lists and share enough."""
+    most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
+    rows = lists.join(most, "token").withColumn("in_most", F.col("comp") == F.col("most"))
+    x, y = _side(rows.where(~F.col("in_most")), "x", "comp"), _side(rows, "y", "comp", "in_most")
+    # Both outside the largest component: such a pair comes up from either side, so one side is enough.
+    met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny"))
+    return _counted(met).where(F.col("c") >= _need()).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold."""
+    of = lambda k: sets.select(F.col("cls").alias(k), F.col("tokens").alias(f"t{k}"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(100 * common >= THRESHOLD * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,59 +234,55 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "ngram_join")
     fp, n = frequent_shingles(docs, text_col)
     signed = scratch.keep(_signed(docs, fp, n, id_col, text_col), "signed")
+    scratch.release()
     members = scratch.keep(signed.select("doc_id", "n", "cls"), "members")
 
-    entries = signed.select("cls", F.explode("prefix").alias("token")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    mixed = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    shared = scratch.keep(entries.join(mixed, "token", "left_semi").distinct(), "shared")
-    used = shared.select("cls").distinct()
+    # Both uses of the entries read one exchange.
+    entries = signed.select("cls", F.explode("prefix").alias("token")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").distinct()
+    lengths = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    shared = scratch.keep(entries.join(lengths, "token"), "shared_ids")
     classes = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("matches").alias("matches"))
-    classes = scratch.keep(classes.join(used, "cls", "left_semi"), "classes")
+    held = shared.groupBy("cls").agg(F.count_if(F.col("length") > SHORT_LIST).alias("h"))
+    classes = scratch.keep(classes.join(held, "cls"), "classes")
     scratch.drop("signed")
     scratch.release()
-    sets = scratch.keep(_sets(docs, classes.select("doc_id"), id_col, text_col), "sets")
+    shared = scratch.keep(shared.join(classes.drop("doc_id"), "cls"), "shared")
+    scratch.drop("shared_ids")
+    pairs = scratch.keep(_short_pairs(shared.where(F.col("length") <= SHORT_LIST)), "short_pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(classes.where("h > 0").select("cls")).distinct()
+    scratch.release()
+    sets = scratch.keep(_sets(docs, classes.join(used, "cls", "left_semi").select("doc_id"), id_col, text_col), "sets")
     scratch.release()
 
-    links, lists = None, shared.withColumn("comp", F.col("cls"))
-    done = None
+    lists = shared.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("cls"))
+    links = None
     for turn in range(STAR_ROUNDS):
-        pairs = _star_pairs(lists, turn)
-        if done is not None:
-            comps = done.select(F.col("node").alias("cls"), "root")
-            for k in ("a", "b"):
-                pairs = pairs.join(comps.select(F.col("cls").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
-            pairs = pairs.where("ra <> rb").select("a", "b")
-        found = scratch.keep(_verified(pairs, classes, sets), f"links_{turn}")
+        met = _star_pairs(lists, turn)
+        found = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), sets), f"links_{turn}")
         links = found if links is None else links.union(found)
-        done = scratch.keep(components(links, scratch, f"comp_{turn}"), f"done_{turn}")
-        lists = shared.join(done.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        lists = scratch.keep(lists.join(open_, "token", "left_semi"), f"open_{turn}")
+        lists = scratch.keep(_still_open(shared, components(links, scratch, f"comp_{turn}")), f"open_{turn}")
+        scratch.drop(f"open_{turn - 1}")
         scratch.release()
-
-    found = scratch.keep(_verified(_open_pairs(lists, classes), classes, sets), "links_rest")
-    links = links.union(found)
-    done = scratch.keep(components(links, scratch, "comp_all"), "done_all")
-    scratch.drop("shared", "sets", "classes", *(f"open_{t}" for t in range(STAR_ROUNDS)))
-    scratch.release()
+        if lists.isEmpty():
+            break
+    else:
+        links = links.union(scratch.keep(_verified(_open_pairs(lists), sets), "links_rest"))
+    done = components(links, scratch, "comp_all")
     whole = members.join(done.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
+    scratch.drop("shared", "sets", "classes", "members", "short_pairs", f"open_{turn}")
+    scratch.release()
+    return out
 
 
-def _open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share as much of their prefixes as they must."""
-    rows = lists.join(classes.select("cls", "n", "matches"), "cls")
-    most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
-    rows = rows.join(most, "token")
-    few = rows.where("comp <> most")
-    x = few.select("token", *(F.col(c).alias(f"{c}_x") for c in ("cls", "comp", "n", "matches")))
-    y = rows.select("token", *(F.col(c).alias(f"{c}_y") for c in ("cls", "comp", "n", "matches")), (F.col("comp") == F.col("most")).alias("in_most"))
-    # Both outside the largest component: such a pair comes up from either side, so one side is enough.
-    pairs = x.join(y, "token").where((F.col("comp_x") != F.col("comp_y")) & (F.col("in_most") | (F.col("cls_x") < F.col("cls_y"))) & _fits("n_x", "n_y"))
-    pairs = pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"), F.least("matches_x", "matches_y").alias("m"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("m").alias("m")).where("c >= m").select("a", "b")
+def _still_open(shared: DataFrame, done: DataFrame) -> DataFrame:
+    """The long lists that hold more than one component, with each entry's component."""
+    lists = shared.where(F.col("length") > SHORT_LIST).join(done.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
+    lists = lists.withColumn("comp", F.coalesce("comp", "cls"))
+    several = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return lists.join(several, "token", "left_semi")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ A null or empty text has the end id alone. Rows with the same id stay separate d
 one frame. An empty table gives a store without segments. Columns besides id and text are not stored.
 
 Encoding goes word by word: normalization, split and merges of the tokenizers that are allowed here never reach
-across ASCII white space, so each worker encodes a word with the tokenizers library when it first meets it.
+across ASCII white space, so each worker has the tokenizers library encode a word when it first meets it.
 :func:`word_safe` refuses tokenizers for which that is not so.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,8 +47,8 @@ LEVEL = 3
 #: A segment ends with the document that takes it over this many payload bytes or documents.
 SEGMENT_BYTES = 1 << 20
 SEGMENT_DOCS = 2048
-#: Words that a worker remembers; over that it forgets them all.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers; twice as many at most; the longer unused half goes first.
+CACHE_WORDS = 150_000
 CACHE_WORD_BYTES = 64
 
 _SEGMENT_SCHEMA = "part int, seq int, first_id long, last_id long, ids array<bigint>, offsets array<int>, counts array<int>, before long, tokens long, payload binary"
@@ -69,20 +70,50 @@ def word_safe(spec: dict) -> bool:
     return all(fixed)
 
 
+class _Remembered(dict):
+    """What a function gives, remembered in two generations: what is not used goes when the younger one is full."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= CACHE_WORD_BYTES:
+            self[key] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of whole texts, by way of the ids of their words."""
+    """Serialized ids of whole texts, by way of those of their words.
+
+    A word that is new is cut as the tokenizer cuts it, and the tokenizer's model encodes the pieces, which are
+    remembered too. The usual word, Latin letters with signs behind them, is cut here; any other by the library.
+    """
 
     _shared: dict[str, WordEncoder] = {}
+    _LATIN = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+    _USUAL = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([-.,!?;:#*$%&|)\]]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            text = f.read()
-        if not word_safe(json.loads(text)):
+            spec = f.read()
+        if not word_safe(json.loads(spec)):
             raise ValueError(f"{path}: words cannot be encoded one by one")
-        self.tokenizer = Tokenizer.from_str(text)
-        self.known: dict[bytes, list[int]] = {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.added = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
+        #: How the pre-tokenizer writes letters beyond ASCII.
+        self.spelled = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in self._LATIN})
+        self.pieces = _Remembered(self._piece)
+        self.words = _Remembered(self._word)
 
     @classmethod
     def shared(cls, path: str) -> WordEncoder:
@@ -91,26 +122,26 @@ class WordEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def encode_words(self, words: list[bytes]) -> list[int]:
-        known, out = self.known, []
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            fresh = {w: e.ids for w, e in zip(new, got, strict=True)}
-            known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_WORD_BYTES)
-            get = lambda w: known.get(w) or fresh.get(w, [])
-            for w in words:
-                out += get(w)
-            return out
-        for w in words:
-            out += known[w]
-        return out
-
-    def encode(self, text: bytes | None) -> list[int]:
-        return self.encode_words((text or b"").split())
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._ids([t.id for t in self.tokenizer.model.tokenize(piece)])
+
+    def _word(self, word: bytes) -> bytes:
+        if usual := self._USUAL.fullmatch(word):
+            letters, signs = usual[1].decode().lower(), usual[2].decode()
+            if not letters.isascii():
+                letters = letters.translate(self.spelled)
+            return (self.pieces[letters] if letters else b"") + (self.pieces[signs] if signs else b"")
+        text = word.decode("utf-8", "replace")
+        if any(a in word for a in self.added):
+            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return b"".join(self.pieces[piece] for piece, _ in cut)
+
+    def encode(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.words.__getitem__, (text or b"").split()))
 
 
 def train_dictionary(frames: list[bytes]) -> bytes:
@@ -129,10 +160,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """Encode every text, and write the store at ``path`` (a folder that all executors reach)."""
     spark = docs.sparkSession
     encoder = WordEncoder(tokenizer)
-    dtype = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    dtype = encoder.dtype
+    end = np.array([end_id], dtype).tobytes()
     sample, size = [], 0
     for r in hashed_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", SAMPLE_DOCS).select("t").collect():
-        data = np.array([*encoder.encode((r.t or "").encode()), end_id], dtype).tobytes()
+        data = encoder.encode((r.t or "").encode()) + end
         size += len(data)
         if size > SAMPLE_BYTES:
             break
@@ -143,6 +175,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordEncoder.shared(tokenizer)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
+        width = int(dtype[-1])
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         offsets: list[int] = [0]
@@ -160,10 +193,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                got = np.array([*words.encode(text), end_id], dtype)
-                frame = pack.compress(got.tobytes())
+                got = words.encode(text) + end
+                frame = pack.compress(got)
                 ids.append(doc)
-                counts.append(len(got))
+                counts.append(len(got) // width)
                 frames.append(frame)
                 offsets.append(offsets[-1] + len(frame))
                 if offsets[-1] > SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS:

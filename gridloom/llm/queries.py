@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
+    decontaminate,
+    mixing,
     ngram_join,
     quality_rules,
     sharding,
@@ -20,7 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op10_mixing": mixing.op10_mixing,
         "op6_url_filters": url_filters.op6_url_filters,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality_rules.op9_quality_rules,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
     decontaminate,
+    line_dedup,
     mixing,
     ngram_join,
     quality_rules,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op10_mixing": mixing.op10_mixing,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_url_filters": url_filters.op6_url_filters,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality_rules.op9_quality_rules,

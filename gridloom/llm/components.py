@@ -37,3 +37,16 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+
+
+def grown(done: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components (node, root) that ``done`` becomes with more links, found on the graph of its roots."""
+    if done is None:
+        return scratch.keep(components(links, scratch, name), f"{name}_done")
+    if links.isEmpty():
+        return done
+    of = lambda k: done.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = scratch.keep(components(ends, scratch, name), f"{name}_more")
+    moved = done.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return scratch.keep(moved.union(more.join(done, "node", "left_anti").select("node", "root")), f"{name}_done")

@@ -8,7 +8,7 @@ linked, and of each component of links one line stays, the one with the least (d
    keeps the least, and an empty bin takes over that of the next full one. Sixteen bands of four bins are looked up: two lines at
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
 2. Equal lines are one node. Short band lists are paired up in full. In long ones all lines are compared with
-   two centres first; what is still in different components after three such rounds is paired up across components.
+   two centres first; what is still in different components after two such rounds is paired up across components.
 3. Candidates are verified by their exact similarity; verified links go through distributed union-find.
 
 Null and empty texts have no lines. Rows with one id and different texts are separate; equal rows are told apart by nothing, and
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, table
-from gridloom.llm.components import components
+from gridloom.llm.components import grown
 
 THRESHOLD = 75  # per cent
 RUN = 8
 BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
 SHORT_LIST = 24
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(31)
 _SPACES = " \t\n\r\x0b\x0c"
@@ -149,7 +149,7 @@ def _with_components(lists: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    h = F.xxhash64("line", F.lit(turn))
+    h = F.xxhash64("line", "token", F.lit(turn)) if turn else F.xxhash64("line")  # later each list has centres of its own
     ends = lists.groupBy("token").agg(F.min_by(F.struct("line", "comp"), h).alias("lo"), F.max_by(F.struct("line", "comp"), h).alias("hi"))
     met = lists.join(ends, "token").withColumn("y", F.explode(F.array("lo", "hi"))).where("comp <> y.comp")
     return met.select(*_ordered("line", "y.line")).distinct()
@@ -182,18 +182,17 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = scratch.keep(_lines(keyed).join(used, "line", "left_semi").dropDuplicates(["line"]), "texts")
     scratch.release()
 
-    long, links = lists.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("line")), None
+    long, done = lists.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("line")), None
     for turn in range(STAR_ROUNDS):
         met = _star_pairs(long, turn)
-        links_now = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), lines), f"links_{turn}")
-        links = links_now if links is None else links.union(links_now)
-        long = scratch.keep(_with_components(long, components(links, scratch, f"comp_{turn}")), f"open_{turn}")
+        links = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), lines), f"links_{turn}")
+        done = grown(done, links, scratch, f"comp_{turn}")
+        long = scratch.keep(_with_components(long, done), f"open_{turn}")
         scratch.drop(f"open_{turn - 1}")
         if long.isEmpty():
             break
     else:
-        links = links.union(scratch.keep(_verified(_open_pairs(long), lines), "links_rest"))
-    done = components(links, scratch, "comp_all")
+        done = grown(done, scratch.keep(_verified(_open_pairs(long), lines), "links_rest"), scratch, "comp_rest")
     scratch.drop("lists", "texts", "short_pairs")
     scratch.release()
     rows = found.select("doc_id", "h", "no", "line").join(done.select(F.col("node").alias("line"), F.col("root").alias("component")), "line", "left")

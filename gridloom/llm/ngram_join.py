@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, table
-from gridloom.llm.components import components
+from gridloom.llm.components import grown
 from gridloom.llm.shingles import set_id, shingles
 
 THRESHOLD = 75  # per cent
@@ -54,7 +54,7 @@ VERIFY_COST = 40.0
 #: Lists of up to this many sets are paired up in full; longer ones go by stars first.
 SHORT_LIST = 24
 #: Rounds of stars, with two centres a list each, before all remaining pairs are taken.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _texts(b: pa.RecordBatch, column: str) -> list[bytes | None]:
@@ -201,14 +201,19 @@ def _short_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Sets with the two centres of each list, the sets of least and greatest hash (of another hash each turn), if they meet often."""
+    """Sets with the two centres of each list, the sets of least and greatest hash.
+
+    At first one hash holds for all lists: a group of near copies mostly has the same two centres, and pairs that
+    meet often are taken. Later each list has centres of its own: what did not match the first is compared with many others.
+    """
     of_set = F.struct("cls", *_OF_SET, "comp")
-    h = F.xxhash64("cls", F.lit(turn))
+    h = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.xxhash64("cls")
     ends = lists.groupBy("token").agg(F.min_by(of_set, h).alias("lo"), F.max_by(of_set, h).alias("hi"))
     met = _side(lists, "x", "comp").join(ends, "token").withColumn("y", F.explode(F.array("lo", "hi")))
     met = met.select("clsx", *(c + "x" for c in _OF_SET), *(F.col(f"y.{c}").alias(c + "y") for c in ("cls", *_OF_SET)), (F.col("compx") != F.col("y.comp")).alias("open"))
-    # A quarter of what a pair needs in all is enough here: pairs that stars leave out come up again in the rest.
-    return _counted(met.where(F.col("open") & _fits("nx", "ny"))).where(4 * F.col("c") >= _need()).select("a", "b")
+    met = met.where(F.col("open") & _fits("nx", "ny") & (_need() <= F.least("hx", "hy")))
+    # A quarter of what a pair needs in all is enough at first: pairs that stars leave out come up again in the rest.
+    return _counted(met).where(F.lit(turn > 0) | (4 * F.col("c") >= _need())).select("a", "b")
 
 
 def _open_pairs(lists: DataFrame) -> DataFrame:
@@ -216,8 +221,8 @@ def _open_pairs(lists: DataFrame) -> DataFrame:
     most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
     rows = lists.join(most, "token").withColumn("in_most", F.col("comp") == F.col("most"))
     x, y = _side(rows.where(~F.col("in_most")), "x", "comp"), _side(rows, "y", "comp", "in_most")
-    # Both outside the largest component: such a pair comes up from either side, so one side is enough.
-    met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny"))
+    # What meets in long lists only cannot share more of them than either has. Both outside the largest component: such a pair comes up from either side, so one side is enough.
+    met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny") & (_need() <= F.least("hx", "hy")))
     return _counted(met).where(F.col("c") >= _need()).select("a", "b")
 
 
@@ -255,19 +260,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.release()
 
     lists = shared.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("cls"))
-    links = None
+    done = None
     for turn in range(STAR_ROUNDS):
         met = _star_pairs(lists, turn)
         found = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), sets), f"links_{turn}")
-        links = found if links is None else links.union(found)
-        lists = scratch.keep(_still_open(shared, components(links, scratch, f"comp_{turn}")), f"open_{turn}")
+        done = grown(done, found, scratch, f"comp_{turn}")
+        lists = scratch.keep(_still_open(shared, done), f"open_{turn}")
         scratch.drop(f"open_{turn - 1}")
         scratch.release()
         if lists.isEmpty():
             break
     else:
-        links = links.union(scratch.keep(_verified(_open_pairs(lists), sets), "links_rest"))
-    done = components(links, scratch, "comp_all")
+        done = grown(done, scratch.keep(_verified(_open_pairs(lists), sets), "links_rest"), scratch, "comp_rest")
     whole = members.join(done.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(least, "root", "left")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
     decontaminate,
+    language_id,
     line_dedup,
     mixing,
     ngram_join,
+    quality_classifier,
     quality_rules,
     sharding,
     token_store,
@@ -23,11 +25,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op2_language_id": language_id.op2_language_id,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op10_mixing": mixing.op10_mixing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_url_filters": url_filters.op6_url_filters,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }

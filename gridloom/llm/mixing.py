@@ -42,15 +42,14 @@ _SPLIT = r"[^\p{L}]+"
 
 def _token_count(text: Column) -> Column:
     """Words at ASCII white space."""
-    spaced = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(spaced) > 0, F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1).otherwise(0).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _marks(text: Column) -> list[Column]:
     """Attributes of a text that count as words of their own: how much of it is signs, and how much is capitals."""
     n = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.round(10 * (n - F.length(F.translate(text, chars, ""))) / n).cast("int")
-    return [F.concat(F.lit("signs:"), share("#*$%&|<>!").cast("string")), F.concat(F.lit("capitals:"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("string"))]
+    share = lambda others: F.round(10 * F.length(F.regexp_replace(text, others, "")) / n).cast("int").cast("string")
+    return [F.concat(F.lit("signs:"), share(r"[^#*$%&|<>!]+")), F.concat(F.lit("capitals:"), share(r"[^A-Z]+"))]
 
 
 def _domain() -> Column:
@@ -59,9 +58,10 @@ def _domain() -> Column:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, float], dict[str, list[float]]]:
     """Log priors by domain, and for each telling feature the log ratio of its rate in each domain to its rate in all."""
-    labelled = labels.select(F.col("doc_id").alias("_l"), _domain().alias("domain")).where("_l is not null and domain is not null").dropDuplicates(["_l"])
+    labelled = labels.select(F.col("doc_id").cast("long").alias("_l"), _domain().alias("domain")).where("_l is not null and domain is not null").dropDuplicates(["_l"])
     every = max(1, labelled.count() // rows)
-    labelled = labelled.where(F.pmod(F.xxhash64("_l"), F.lit(every)) == 0)
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(every)) == 0
+    labelled, docs = labelled.where(spread("_l")), docs.where(spread(F.col("doc_id").cast("long")))  # only those are shuffled
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.join(labelled, docs["doc_id"] == F.col("_l")).select("domain", text.alias("text"))
     known = known.select("domain", F.array_union(F.array_distinct(F.split(F.lower("text"), _SPLIT)), F.array(*_marks(F.col("text")))).alias("f"))

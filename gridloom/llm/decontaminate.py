@@ -83,6 +83,10 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document and item it has a passage of: doc_id, item_id, start (shingle), n_shingles, distance, similarity of its best window."""
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("th")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = scratch.keep(_items(benchmark, item_col, item_text_col), "items")
@@ -117,13 +121,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaks = pairs.withColumn("whole", F.expr("weight + wi - common")).where(f"100 * common >= {THRESHOLD} * whole")
     leaks = leaks.withColumn("similarity", F.col("common") / F.col("whole"))
     best = F.max_by(F.struct("start", F.col("m").alias("n_shingles"), "distance", "similarity"), F.struct("similarity", -F.col("start")))
-    return leaks.groupBy("doc_id", "th", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return leaks.groupBy("doc_id", "th", "item_id").agg(best.alias("b")).select("doc_id", "th", "item_id", "b.*")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark passage; all columns stay."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = _leaks(docs, benchmark, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__leak"), F.col("th").alias("__th")).distinct()
+    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("__leak")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

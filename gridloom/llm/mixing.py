@@ -59,6 +59,7 @@ def _domain() -> Column:
 def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, float], dict[str, list[float]]]:
     """Log priors by domain, and for each telling feature the log ratio of its rate in each domain to its rate in all."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("_l"), _domain().alias("domain")).where("_l is not null and domain is not null").dropDuplicates(["_l"])
+    docs = docs.select("doc_id", "text")
     every = max(1, labelled.count() // rows)
     spread = lambda c: F.pmod(F.xxhash64(c), F.lit(every)) == 0
     labelled, docs = labelled.where(spread("_l")), docs.where(spread(F.col("doc_id").cast("long")))  # only those are shuffled
@@ -155,9 +156,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = 1.0) -> DataFrame:
     """docs with each row as often as its copies say; columns stay. With ``least`` of one no document is lost."""
-    rates = mix(docs, labels, targets, least).groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(rates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")))
-    many = joined.withColumn("_copy", F.explode_outer(F.expr("sequence(1L, greatest(1L, _copies))"))).where("_copies > 0")
+    rates = mix(docs, labels, targets, least).groupBy(F.col("doc_id").alias("__id"), F.col("_h").alias("__h")).agg(F.max("copies").alias("__copies"))
+    joined = docs.withColumn("__th", F.xxhash64("text")).join(rates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
+    many = joined.where("__copies > 0").withColumn("__copy", F.explode_outer(F.expr("sequence(1L, __copies)")))
     return many.select(*docs.columns)
 
 

@@ -292,10 +292,10 @@ def _still_open(shared: DataFrame, done: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each component the row with the least id stays, with all its columns.
 
-    Rows that repeat that id are copies of it or near copies, and one of them stays.
+    Rows that repeat that id are taken for the same document, and one of them stays. Of rows with a null id one stays for each text.
     """
     keep = link_documents(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,14 +63,14 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_
 def place(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with shard and slot. Repeated rows take slots next to one another; columns of these names are replaced."""
     docs = docs.drop("shard", "slot")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), "_size": utf8_bytes(text_col) + ROW_BYTES})
+    keyed = docs.withColumns({"__id": F.col(id_col), "__crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), "__size": utf8_bytes(text_col) + ROW_BYTES})
     # Rows that are alike in all three are told apart by a number, on both sides; they are interchangeable.
     alike = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
-    keyed = keyed.withColumn("_k", alike("_id", "_crc", "_size"))
+    keyed = keyed.withColumn("__k", alike("__id", "__crc", "__size"))
     found = shard_documents(docs, n_shards, id_col, text_col)
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")))
-    found = found.select(F.col("doc_id").alias("_i"), F.col("text_crc32").alias("_c"), F.col("size").alias("_s"), "_n", "shard", F.col("slot").cast("long").alias("slot"))
-    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_k") == F.col("_n"))
+    found = found.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")))
+    found = found.select(F.col("doc_id").alias("__i"), F.col("text_crc32").alias("__c"), F.col("size").alias("__s"), "__n", "shard", F.col("slot").cast("long").alias("slot"))
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__crc") == F.col("__c")) & (F.col("__size") == F.col("__s")) & (F.col("__k") == F.col("__n"))
     return keyed.join(found, on).select(*docs.columns, "shard", "slot")
 
 

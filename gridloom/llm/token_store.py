@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ LEVEL = 3
 SEGMENT_BYTES = 1 << 20
 SEGMENT_DOCS = 2048
 #: Words that a worker remembers; twice as many at most; the longer unused half goes first.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 64
 
 _SEGMENT_SCHEMA = "part int, seq int, first_id long, last_id long, ids array<bigint>, offsets array<int>, counts array<int>, before long, tokens long, payload binary"
@@ -93,7 +94,8 @@ class WordEncoder:
     """Serialized ids of whole texts, by way of those of their words.
 
     A word that is new is cut as the tokenizer cuts it, and the tokenizer's model encodes the pieces, which are
-    remembered too. The usual word, Latin letters with signs behind them, is cut here; any other by the library.
+    remembered too. The usual word, Latin letters with signs behind them, is cut here; any other by the library. Ids are in
+    the machine's byte order, which has to be little-endian.
     """
 
     _shared: dict[str, WordEncoder] = {}
@@ -108,7 +110,7 @@ class WordEncoder:
         if not word_safe(json.loads(spec)):
             raise ValueError(f"{path}: words cannot be encoded one by one")
         self.tokenizer = Tokenizer.from_str(spec)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.added = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
         #: How the pre-tokenizer writes letters beyond ASCII.
         self.spelled = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in self._LATIN})
@@ -123,17 +125,25 @@ class WordEncoder:
         return cls._shared[path]
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         return self._ids([t.id for t in self.tokenizer.model.tokenize(piece)])
 
     def _word(self, word: bytes) -> bytes:
-        if usual := self._USUAL.fullmatch(word):
-            letters, signs = usual[1].decode().lower(), usual[2].decode()
-            if not letters.isascii():
-                letters = letters.translate(self.spelled)
-            return (self.pieces[letters] if letters else b"") + (self.pieces[signs] if signs else b"")
+        usual = self._USUAL.fullmatch(word)
+        if usual is None:
+            return self._unusual(word)
+        letters, signs = usual.groups()
+        if signs and letters:
+            return self.words[letters] + self.words[signs]
+        text = word.decode()
+        low = text.lower()
+        if low != text:
+            return self.words[low.encode()]
+        return self._piece(text if text.isascii() else text.translate(self.spelled))
+
+    def _unusual(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if any(a in word for a in self.added):
             return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -57,6 +57,18 @@ SHORT_LIST = 24
 STAR_ROUNDS = 2
 
 
+#: Rows that a worker has in hand at once.
+ROWS_AT_ONCE = 512
+#: Shingles that a worker gathers before it sends their counts on.
+SHINGLES_AT_ONCE = 1_000_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(start, ROWS_AT_ONCE)
+
+
 def _texts(b: pa.RecordBatch, column: str) -> list[bytes | None]:
     return b.column(column).cast(pa.large_binary()).to_pylist()
 
@@ -80,12 +92,12 @@ def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarr
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "once", "more", "extra"])
 
-        for b in batches:
+        for b in _slices(batches):
             for text in _texts(b, text_col):
                 s = shingles(text)
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > SHINGLES_AT_ONCE:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -141,7 +153,7 @@ def _signed(docs: DataFrame, fp: np.ndarray, n: np.ndarray, id_col: str, text_co
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, n = lists.value
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for text in _texts(b, "t"):
                 s = shingles(text)
@@ -158,11 +170,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     """(cls, tokens) of the documents in wanted (doc_id)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             found = [shingles(t) for t in _texts(b, "t")]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted, "doc_id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted.hint("merge"), "doc_id", "left_semi")
     return rows.select("t").mapInArrow(read, "cls long, tokens array<long>")
 
 

@@ -14,7 +14,7 @@ WORDS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S1, _S2 = np.uint64(29), np.uint64(32)
 #: Words whose hashes a worker remembers; over that it forgets them all.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):

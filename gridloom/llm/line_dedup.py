@@ -18,6 +18,7 @@ their lines are judged alike. A line of any length is one line. Columns besides
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,18 @@ BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
 SHORT_LIST = 24
 STAR_ROUNDS = 2
+#: Characters of different lines that a worker signs at once, and rows it has in hand.
+CHARS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 256
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(31)
 _SPACES = " \t\n\r\x0b\x0c"
 
 
-def runs(line: str) -> np.ndarray:
-    """Hashes of a line's runs of eight characters, one for each place."""
-    c = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    n = max(1, len(c) - RUN + 1)
-    z = np.full(n, len(c) if len(c) < RUN else RUN, np.uint64)
-    for k in range(min(RUN, len(c))):
+def _folded(c: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of eight characters at the first n places of c."""
+    z = np.full(n, RUN, np.uint64)
+    for k in range(RUN):
         z *= _M
         z += c[k : k + n]
         z ^= z >> _S
@@ -52,24 +54,51 @@ def runs(line: str) -> np.ndarray:
     return z ^ (z >> _S)
 
 
+def runs(line: str) -> np.ndarray:
+    """Hashes of a line's runs of eight characters, one for each place; a shorter line is filled up with its length."""
+    c = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    if len(c) < RUN:
+        c = np.concatenate([c, np.full(RUN - len(c), (1 << 32) + len(c), np.uint64)])
+    return _folded(c, len(c) - RUN + 1)
+
+
 def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def bands(z: np.ndarray) -> np.ndarray:
-    """The sixteen band values (32-bit) of a line's runs."""
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (z >> np.uint64(58)).astype(np.int64), z << np.uint64(6))
-    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    if len(full) < BINS:
-        if not len(full):
-            full, least = np.array([0]), np.zeros(BINS, np.uint64)
-        # The next full bin, around the end; the distance is mixed in, as the runs of another bin mean something else.
-        at = np.searchsorted(full, np.arange(BINS)) % len(full)
-        least = least[full[at]] + ((full[at] - np.arange(BINS)) % BINS).astype(np.uint64)
-    z = np.zeros(BANDS, np.uint64)
+@lru_cache(maxsize=4096)
+def run_set(line: str) -> np.ndarray:
+    """The distinct runs of a line, ascending."""
+    return np.unique(runs(line))
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """The sixteen band values (32-bit) of each line; all lines are gone through at once."""
+    n = len(lines)
+    long = [x for x in lines if len(x) >= RUN]
+    hashed, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.array([k for k, x in enumerate(lines) if len(x) >= RUN], np.int64)
+    if long:
+        c = np.frombuffer("".join(long).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        size = np.array([len(x) for x in long], np.int64)
+        # Runs that would go on into the next line are left out: the last seven places of each line.
+        inside = np.ones(len(c), bool)
+        inside[(np.cumsum(size)[:, None] - np.arange(1, RUN)).ravel()] = False
+        hashed, owner = _folded(c, len(c) - RUN + 1)[inside[: len(c) - RUN + 1]], np.repeat(at, size - RUN + 1)
+    short = [k for k, x in enumerate(lines) if len(x) < RUN]
+    hashed = np.concatenate([hashed, *(runs(lines[k]) for k in short)])
+    owner = np.concatenate([owner, np.array(short, np.int64)])
+    none = np.iinfo(np.uint64).max
+    least = np.full(n * BINS, none, np.uint64)
+    np.minimum.at(least, owner * BINS + (hashed >> np.uint64(58)).astype(np.int64), hashed << np.uint64(6))
+    least = least.reshape(n, BINS)
+    # The next full bin, around the end; the distance is mixed in, as the runs of another bin mean something else.
+    place = np.where(least != none, np.arange(BINS), 4 * BINS)
+    ahead = np.minimum.accumulate(np.concatenate([place, place + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS]
+    least = np.take_along_axis(least, ahead % BINS, 1) + (ahead - np.arange(BINS)).astype(np.uint64)
+    z = np.zeros((n, BANDS), np.uint64)
     for k in range(ROWS):
-        z = (z + least.reshape(BANDS, ROWS)[:, k]) * _M
+        z = (z + least.reshape(n, BANDS, ROWS)[:, :, k]) * _M
         z ^= z >> _S
     return (z >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -82,28 +111,39 @@ def _signed(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, h, no, line, bands) of docs (doc_id, h, text), one a line with something on it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, numbers, places = [], [], [], []
+        known: dict[str, int] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            texts = list(known)
+            names, found = np.array([line_id(x) for x in texts], np.int64), bands(texts)
+            at = np.array(places, np.int64)
+            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(names[at], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(found[at].ravel(), pa.int32()))],
+                ["doc_id", "h", "no", "line", "bands"],
+            )
+
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                ids, keys, numbers, lines, found = [], [], [], [], []
-                known: dict[str, tuple[int, np.ndarray]] = {}
+            for start in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(start, ROWS_AT_ONCE)
                 for doc, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     for no, line in enumerate(lines_of(text)):
                         if line:
-                            got = known.get(line)
-                            if got is None:
-                                got = known[line] = (line_id(line), bands(runs(line)))
+                            if line not in known:
+                                known[line] = len(known)
+                                size += len(line)
                             ids.append(doc)
                             keys.append(key)
                             numbers.append(no)
-                            lines.append(got[0])
-                            found.append(got[1])
-                flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                    ["doc_id", "h", "no", "line", "bands"],
-                )
+                            places.append(known[line])
+                    if size > CHARS_AT_ONCE or len(ids) > CHARS_AT_ONCE // 16:
+                        yield flush()
+                        ids, keys, numbers, places, size = [], [], [], [], 0
+                        known.clear()
+        if ids:
+            yield flush()
 
     return docs.mapInArrow(sign, "doc_id long, h long, no int, line long, bands array<int>")
 
@@ -124,7 +164,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         for b in batches:
             good = []
             for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
-                p, q = np.unique(runs(x)), np.unique(runs(y))
+                p, q = run_set(x), run_set(y)
                 good.append(False)
                 if 100 * min(len(p), len(q)) >= THRESHOLD * max(len(p), len(q)):
                     both = np.concatenate([p, q])
@@ -179,7 +219,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = short.select("token", F.col("line").alias("x")).join(short.select("token", F.col("line").alias("y")), "token").where("x < y").select(*_ordered("x", "y")).distinct()
     pairs = scratch.keep(pairs, "short_pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(lists.where(F.col("length") > SHORT_LIST).select("line")).distinct()
-    lines = scratch.keep(_lines(keyed).join(used, "line", "left_semi").dropDuplicates(["line"]), "texts")
+    lines = scratch.keep(_lines(keyed).join(used.hint("merge"), "line", "left_semi").dropDuplicates(["line"]), "texts")
     scratch.release()
 
     long, done = lists.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("line")), None

@@ -37,7 +37,9 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> GridArray:
 def event_counts(spark: SparkSession, sf_dir: str) -> GridArray:
     """Users by event types (in alphabetical order) by days of the month, counts."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    names = [r[0] for r in df.select("event_type").distinct().orderBy("event_type").limit(EVENT_TYPES_MOST).collect()]
+    names = [r[0] for r in df.select("event_type").distinct().orderBy("event_type").limit(EVENT_TYPES_MOST + 1).collect()]
+    if len(names) > EVENT_TYPES_MOST:
+        raise ValueError(f"more than {EVENT_TYPES_MOST} event types")
     code = F.array_position(F.lit(names), F.col("event_type")).cast("long")
     cells = df.groupBy((F.col("user_id") + 1).cast("long").alias("i1"), code.alias("i2"), F.dayofmonth("ts").cast("long").alias("i3")).agg(F.count("*").alias("val"))
     return GridArray(ArrayMeta((_top(df, "user_id"), len(names), 31), "long", is_sparse=True), cells)

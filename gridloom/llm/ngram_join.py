@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, table
@@ -229,13 +229,18 @@ def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def _open_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that meet in long lists and share enough."""
+    """Pairs of sets in different components that meet in long lists and may share enough.
+
+    Both have all they share in lists that are open. A pair that needs k matches has k - 1 more behind the first, so its
+    first meeting, in the order of shingles, is where both sets have k entries left; later meetings are not looked at.
+    """
     most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
-    rows = lists.join(most, "token").withColumn("in_most", F.col("comp") == F.col("most"))
-    x, y = _side(rows.where(~F.col("in_most")), "x", "comp"), _side(rows, "y", "comp", "in_most")
-    # What meets in long lists only cannot share more of them than either has. Both outside the largest component: such a pair comes up from either side, so one side is enough.
-    met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny") & (_need() <= F.least("hx", "hy")))
-    return _counted(met).where(F.col("c") >= _need()).select("a", "b")
+    left = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("token")))  # at most a prefix's entries a set
+    rows = lists.withColumn("left", left).join(most, "token").withColumn("in_most", F.col("comp") == F.col("most"))
+    x, y = _side(rows.where(~F.col("in_most")), "x", "comp", "left"), _side(rows, "y", "comp", "left", "in_most")
+    # Both outside the largest component: such a pair comes up from either side, so one side is enough.
+    met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny") & (_need() <= F.least("leftx", "lefty")))
+    return met.select(F.least("clsx", "clsy").alias("a"), F.greatest("clsx", "clsy").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership.
 
 A classifier learned from a labelled table gives every document a posterior over the domains: Bayes over the presence of
-telling words and over the document's own attributes. With t tokens and posterior p a document adds r * t * p to
+telling words and over the document's own attributes. Every word or attribute of three labelled rows or more
+whose rate in one domain is far from its rate in the others is used; there is no limit to their number. With t tokens and posterior p a document adds r * t * p to
 the expected token totals of the domains, at rate r. Projected gradient descent fits the rates, nonnegative, so
 that the totals match the targets in the least squares sense; a step needs the documents' sums by domain, one
 aggregation, and the rates are updated where the documents are. Written out, a rate after k steps depends on k
@@ -32,9 +33,12 @@ from gridloom.llm.common import Scratch, table
 DOMAINS = ("good", "low", "toxic")
 #: Token shares asked for.
 TARGETS = {"good": 0.78, "low": 0.10, "toxic": 0.12}
-#: Labelled rows that the classifier is fitted on, at most (evenly spread by a hash of the id), and the words it keeps.
+#: Labelled rows that the classifier is fitted on, about (evenly spread by a hash of the id).
 LABELLED_ROWS = 20_000
-WORDS_KEPT = 64
+#: Features of so many labelled rows are told from chance; as many rows as SHRINK, at the rate of all domains, are added to each domain.
+LEAST_ROWS, SHRINK = 3, 2.0
+#: Up to so many features are broadcast; more are joined by a shuffle. None is left out.
+BROADCAST_FEATURES = 500_000
 STEPS = 40
 STEPS_A_TABLE = 10
 _SPLIT = r"[^\p{L}]+"
@@ -56,8 +60,14 @@ def _domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), "good")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, float], dict[str, list[float]]]:
-    """Log priors by domain, and for each telling feature the log ratio of its rate in each domain to its rate in all."""
+def _features(text: Column) -> Column:
+    """The distinct lower-cased words of a text, and its marks."""
+    return F.array_union(F.array_distinct(F.split(F.lower(text), _SPLIT)), F.array(*_marks(text)))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, float], DataFrame]:
+    """Log priors by domain, and for each telling feature f the log ratios (w, in the order of DOMAINS) of its rate in a domain to its rate in all."""
+    spark = docs.sparkSession
     labelled = labels.select(F.col("doc_id").cast("long").alias("_l"), _domain().alias("domain")).where("_l is not null and domain is not null").dropDuplicates(["_l"])
     docs = docs.select("doc_id", "text")
     every = max(1, labelled.count() // rows)
@@ -65,37 +75,36 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
     labelled, docs = labelled.where(spread("_l")), docs.where(spread(F.col("doc_id").cast("long")))  # only those are shuffled
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.join(labelled, docs["doc_id"] == F.col("_l")).select("domain", text.alias("text"))
-    known = known.select("domain", F.array_union(F.array_distinct(F.split(F.lower("text"), _SPLIT)), F.array(*_marks(F.col("text")))).alias("f"))
-    known = Scratch(docs.sparkSession, "mixing").keep(known, "labelled")
+    scratch = Scratch(spark, "mixing")
+    known = scratch.keep(known.select("domain", _features(F.col("text")).alias("f")), "labelled")
     sizes = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
-        return dict.fromkeys(DOMAINS, -math.log(len(DOMAINS))), {}
-    held = known.select("domain", F.explode_outer("f").alias("f")).where("f <> ''").groupBy("f").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS))
+        return dict.fromkeys(DOMAINS, -math.log(len(DOMAINS))), spark.createDataFrame([], "f string, w array<double>")
+    held = known.select("domain", F.explode_outer("f").alias("f")).where("f <> ''").groupBy("f").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS))
     rate = {d: (F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0) for d in DOMAINS}
-    rest = {d: (sum((F.col(x) for x in DOMAINS if x != d), F.lit(0)) + 0.5) / (total - sizes.get(d, 0) + 1.0) for d in DOMAINS}
-    # What a feature tells of a domain: its information gain, up to a constant, over all documents with labels.
-    tells = F.greatest(*[sizes.get(d, 0) * rate[d] * F.abs(F.log(rate[d] / rest[d])) for d in DOMAINS])
-    best = held.select("f", tells.alias("tells"), *(rate[d].alias(d) for d in DOMAINS)).where(F.greatest(*[F.abs(F.log(rate[d] / rest[d])) for d in DOMAINS]) > 1.5)
-    top = best.orderBy(F.desc("tells"), "f").limit(WORDS_KEPT).collect()
+    rest = {d: (F.col("n") - F.col(d) + 0.5) / (total - sizes.get(d, 0) + 1.0) for d in DOMAINS}
+    telling = held.where(F.col("n") >= LEAST_ROWS).where(F.greatest(*[F.abs(F.log(rate[d] / rest[d])) for d in DOMAINS]) > 1.5)
+    # A word of few rows says little, however they are dealt over the domains.
+    weights = F.array(*[F.log((F.col(d) + SHRINK) / (F.col("n") * (sizes.get(d, 0) / total) + SHRINK)) for d in DOMAINS])
     priors = {d: math.log((sizes.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS}
-    return priors, {r.f: [math.log(r[d] / sum(r[x] * sizes.get(x, 0) / total for x in DOMAINS)) for d in DOMAINS] for r in top}
+    return priors, scratch.keep(telling.select("f", weights.alias("w")), "features")
 
 
-def posteriors(docs: DataFrame, priors: dict[str, float], features: dict[str, list[float]], text_col: str = "text") -> DataFrame:
-    """docs with tokens and p, the array of posteriors in the order of DOMAINS."""
+def posteriors(docs: DataFrame, priors: dict[str, float], features: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, whose text gives way to tokens and p, the array of posteriors in the order of DOMAINS; a row each."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = [priors[d] for d in DOMAINS]
-    names = sorted(features)
-    if names:
-        seen = F.array_intersect(F.concat(F.split(F.lower(text), _SPLIT), F.array(*_marks(text))), F.lit(names))
-        weights = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(features[n]))])
-        found = docs.withColumn("_seen", seen)
-        logs = F.aggregate(F.transform("_seen", lambda w: F.element_at(weights, w)), F.lit(base), lambda a, x: F.zip_with(a, x, lambda s, y: s + y))
-    else:
-        found, logs = docs.withColumn("_seen", F.lit(None)), F.lit(base)
-    found = found.withColumn("_log", logs).withColumn("_log", F.transform("_log", lambda x: F.exp(x - F.array_max("_log"))))
-    return found.withColumns({"tokens": _token_count(text), "p": F.transform("_log", lambda x: x / F.aggregate("_log", F.lit(0.0), lambda a, y: a + y))}).drop("_seen", "_log")
+    kept = [c for c in docs.columns if c != text_col]
+    # Each row has its marks at least, so none is lost; repeated rows are told apart by their number.
+    numbered = docs.select(*kept, F.monotonically_increasing_id().alias("_row"), _token_count(text).alias("tokens"), _features(text).alias("_f"))
+    words = numbered.select(*kept, "_row", "tokens", F.explode("_f").alias("f"))
+    if features.count() <= BROADCAST_FEATURES:
+        features = F.broadcast(features)
+    keys = ["_row", *kept, "tokens"]
+    sums = words.join(features, "f", "left").groupBy(*keys).agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"_s{k}") for k in range(len(DOMAINS))))
+    found = sums.withColumn("_log", F.array(*[F.lit(priors[d]) + F.col(f"_s{k}") for k, d in enumerate(DOMAINS)]))
+    found = found.withColumn("_log", F.transform("_log", lambda x: F.exp(x - F.array_max("_log"))))
+    return found.select(*kept, "tokens", F.transform("_log", lambda x: x / F.aggregate("_log", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
@@ -148,7 +157,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     scratch = Scratch(spark, "mixing")
     priors, features = fit_classifier(docs, labels)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    members = scratch.keep(posteriors(keyed, priors, features).drop("text"), "members")
+    members = scratch.keep(posteriors(keyed, priors, features), "members")
     rates, _ = fit_rates(members, targets, least)
     part = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(1 << 32)) / float(1 << 32)
     return rates.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))

@@ -408,3 +408,22 @@ def test_mixing(spark):
     assert mixed.columns == df.columns and {r.doc_id for r in mixed.select("doc_id").distinct().collect()} == {i for i, _ in rows}
     assert mixing.mix(df, lab.limit(0)).count() == len(rows)
     assert mixing.mix(empty(spark), lab).count() == 0 and mixing.mixed_documents(empty(spark), lab.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_mixing_knows_the_words_of_rare_languages(spark, monkeypatch, most):
+    """Many telling words of one language do not push out the few of another, broadcast or not."""
+    monkeypatch.setattr(mixing, "BROADCAST_FEATURES", most)
+    rows, labels = list(ODD), []
+    for k in range(800):
+        t, toxic = prose(k % 40, 30), k % 4 == 0
+        if toxic:
+            t += " lumpenwort schmutzwort" if k % 80 == 0 else " " + " ".join("insult" + chr(97 + (k + j) % 26) + chr(97 + (k // 4 + j) % 4) for j in range(26))
+        rows.append((1000 + k, t))
+        labels.append((1000 + k, 1, int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    priors, features = mixing.fit_classifier(docs(spark, rows), lab)
+    assert features.count() > 64 and {r.f for r in features.collect()} >= {"lumpenwort", "schmutzwort"}
+    out = {r.doc_id: r.p for r in mixing.mix(docs(spark, rows), lab).collect() if r.doc_id is not None}
+    assert all(out[1000 + k][2] > 0.5 for k in range(0, 800, 80))
+    assert sum(out[1000 + k][2] > 0.5 for k in range(800) if k % 4) == 0

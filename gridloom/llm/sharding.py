@@ -12,7 +12,7 @@ Other columns, whatever their names, are not touched by :func:`assign`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, partitions_for, table, utf8_bytes
@@ -22,6 +22,11 @@ ROW_BYTES = 8
 SHARDS = 24
 
 
+def shard_of(end: str, size: str, whole: int, n_shards: int) -> Column:
+    """The shard of the middle byte of a row that ends at byte ``end`` of ``whole``, in whole numbers: a quotient is never rounded up."""
+    return F.expr(f"cast((2 * cast({end} as decimal(38,0)) - {size}) * {n_shards} div cast({2 * max(1, whole)} as decimal(38,0)) as int)")
+
+
 def assign(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, size, text_crc32, shard (0 to n_shards - 1) and slot (gapless from 0)."""
     spark = docs.sparkSession
@@ -48,9 +53,7 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text
         (F.col("_b0") + F.sum("size").over(upto)).alias("_end"),
         (F.col("_r0") + F.row_number().over(order) - 1).alias("_row"),
     )
-    middle = F.col("_end").cast("decimal(38,0)") * 2 - F.col("size")
-    placed = placed.withColumn("shard", F.floor(middle * n_shards / F.lit(2 * max(1, whole)).cast("decimal(38,0)")).cast("int"))
-    return placed
+    return placed.withColumn("shard", shard_of("_end", "size", whole, n_shards))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -355,6 +355,15 @@ def test_sharding(spark):
     assert sharding.place(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("whole,last", [(30_000_000_000, 8), (30_000_000_000, 1000), (500_000_000, 12), (8, 8)])
+def test_the_last_row_stays_in_the_last_shard(spark, whole, last):
+    cuts = [-(-whole * k // 24) for k in range(1, 24)]
+    ends = sorted({e for c in [*cuts, whole] for e in (c - 1, c, c + 1, c + last) if last <= e <= whole})
+    df = spark.createDataFrame([(e, last) for e in ends], "e long, s long")
+    got = {r.e: r.shard for r in df.select("e", sharding.shard_of("e", "s", whole, 24).alias("shard")).collect()}
+    assert got == {e: (2 * e - last) * 24 // (2 * whole) for e in ends} and got[whole] <= 23
+
+
 # ---- 9: rules
 
 

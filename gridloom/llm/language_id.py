@@ -92,7 +92,7 @@ def text_posteriors(records: DataFrame, model: tuple[list[str], np.ndarray]) ->
                 found.append(score - math.log(np.exp(score).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("kind", "id", "host", "declared")), pa.array(found, pa.list_(pa.float64()))], ["kind", "id", "host", "declared", "lp"])
 
-    declared = F.lower(F.nullif(F.regexp_extract(F.substring("html", 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")))
+    declared = F.lower(F.nullif(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")))
     return records.withColumn("declared", declared).mapInArrow(judge, "kind string, id long, host string, declared string, lp array<double>")
 
 

@@ -107,6 +107,14 @@ def test_language(spark):
     assert none.count() == 0
 
 
+def test_language_declared_late_in_a_page(spark):
+    rows = [(k, prose(k, 40), "en" if k % 2 else "de", "src0") for k in range(6)]
+    late = "<!-- " + "licence " * 1000 + "-->\n<html class='a' lang='de'><body>" + prose(2, 40) + "</body></html>"
+    pages = spark.createDataFrame([(1, "https://a.b.de/x", late), (2, "https://a.b.de/y", "<p>" + prose(2, 40))], "page_id long, url string, html string")
+    got = {r.id: r.declared for r in language_id.identify(docs(spark, rows), pages).where("kind = 'page'").collect()}
+    assert got == {1: "de", 2: None}
+
+
 # ---- 3: leaks
 
 

@@ -4,10 +4,10 @@ The content view sees hashed words, the metadata view sees what stands beside th
 layout. Both are logistic regressions fitted on labelled rows. In each round both score a pool of rows without labels; the
 rows that one view is sure of become training rows of the other, with that view's label, and both are fitted anew. On labelled rows
 that were held out, each view's scores are then calibrated (Platt), and the two log odds are added, less the prior that
-both contain. The label is 1 for a document of quality that is not toxic.
+both contain. Held-out rows also set the score from which documents are kept. The label is 1 for a document of quality that is not toxic.
 
 Fitting uses bounded samples, evenly spread by a hash of the id: LABELLED_ROWS with labels, of which a fifth is held out, and
-POOL_ROWS without. Models are fitted on the driver from hashed features; every document is scored.
+POOL_ROWS without; words of fewer than LEAST_ROWS of the fitted rows have no weight. Models are fitted on the driver from hashed features; every document is scored.
 
 Null and empty texts have no words; their content score is the intercept's. Null source or language is a value of its own. Without
 labels of both kinds every score is the share of ones (one half without labels). Repeated rows are scored each by itself.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from zlib import crc32
 
@@ -33,8 +33,12 @@ LABELLED_ROWS = 20_000
 POOL_ROWS = 6_000
 ROUNDS = 2
 SURE = 0.97
-#: Documents of this score or more are kept: a good one lost costs more than a poor one kept.
+#: Kept are documents of the score which this share of held-out good ones reaches: as many toxic ones go as that allows.
+KEEP_GOOD = 0.95
+#: The cut where no good row is held out.
 KEEP_FROM = 0.35
+#: Bins of fewer fitted rows have no weight, at any size of the input; rare ones are left to the penalty.
+LEAST_ROWS = 5
 WORD_BINS, META_BINS = 1 << 16, 1 << 10
 STEPS, L2 = 120, 5e-3
 _SPLIT = bytes.maketrans(b"#*$%&|<>.,;:!?()[]\"'", b" " * 20)
@@ -80,11 +84,11 @@ class View:
 
 
 def fit_view(rows: list[np.ndarray], y: np.ndarray, size: int) -> View:
-    """Full-batch Adam on the mean log loss with an L2 penalty, over the bins that enough rows have."""
+    """Full-batch Adam on the mean log loss with an L2 penalty, over the bins of LEAST_ROWS rows or more."""
     n = len(rows)
     lengths = np.array([len(r) for r in rows])
     at, owner = np.concatenate(rows) if n else np.zeros(0, np.int32), np.repeat(np.arange(n), lengths)
-    usual = np.bincount(at, minlength=size)[at] >= max(2, min(20, n // 150))
+    usual = np.bincount(at, minlength=size)[at] >= LEAST_ROWS
     at, owner = at[usual], owner[usual]
     w, b = np.zeros(size), math.log((y.sum() + 1) / (n - y.sum() + 1))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -123,6 +127,7 @@ class CoTrained:
     content: View | None
     meta: View | None
     prior: float  # log odds
+    keep_from: float = KEEP_FROM
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[float, float, float]:
         """Probabilities by the content view, by the metadata view and by both."""
@@ -133,6 +138,12 @@ class CoTrained:
         return tuple(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) for x in (a, b, a + b - self.prior))
 
 
+def cut(model: CoTrained, content: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray) -> float:
+    """The score that KEEP_GOOD of the good among held-out rows reach."""
+    good = sorted(model.score(a, b)[2] for a, b, k in zip(content, meta, y, strict=True) if k == 1)
+    return good[math.floor((1 - KEEP_GOOD) * len(good))] if good else KEEP_FROM
+
+
 def _featured(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns with the bins of both views."""
 
@@ -182,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained:
                 # What one view is sure of teaches the other.
                 given[1 - k] = np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
     content_view, meta_view = (calibrated(f, pick(views[k], held), y[held]) for k, f in enumerate(fitted))
-    return CoTrained(content_view, meta_view, prior)
+    model = CoTrained(content_view, meta_view, prior)
+    return replace(model, keep_from=cut(model, pick(content, held), pick(meta, held), y[held]))
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFrame:
@@ -203,5 +215,6 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFram
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_content", "p_meta", "score")), (F.col("score") >= KEEP_FROM).alias("kept"))
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    out = score(docs, model)
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_content", "p_meta", "score")), (F.col("score") >= model.keep_from).alias("kept"))

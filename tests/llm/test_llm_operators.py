@@ -340,6 +340,23 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(empty(spark), m).count() == 0
 
 
+def test_rare_words_have_weight_at_any_size():
+    """Ten rows hold a word that only poor ones have, among 200 or 3,600."""
+    for n in (200, 3600):
+        y = np.array([k % 2 for k in range(n)], float)
+        rows = [np.array([7, 9] if k < 20 and not k % 2 else [9], np.int32) for k in range(n)]
+        assert quality_classifier.fit_view(rows, y, 16).weights[7] < 0
+
+
+def test_the_cut_keeps_a_share_of_the_good():
+    view = quality_classifier.View(np.linspace(-4, 4, 100).astype(np.float32), 0.0)
+    model = quality_classifier.CoTrained(view, quality_classifier.View(np.zeros(1, np.float32), 0.0), 0.0)
+    rows, none = [np.array([k]) for k in range(100)], [np.zeros(0, np.int32)] * 100
+    found = quality_classifier.cut(model, rows, none, np.ones(100))
+    assert sum(model.score(r, none[0])[2] >= found for r in rows) == 95
+    assert quality_classifier.cut(model, rows, none, np.zeros(100)) == quality_classifier.KEEP_FROM
+
+
 # ---- 8: shards
 
 

@@ -2,17 +2,19 @@
 
 A line is what stands between line feeds, without white space at its ends; blank lines stay as they are. Lines are compared
 as sets of their runs of eight characters (a shorter line is one run). Two lines whose Jaccard similarity is 0.75 or more are
-linked, and of each component of links one line stays, the one with the least (doc_id, row, line number).
+linked, and of each component of links one line stays, the one with the least (doc_id, hash of the text, row, line number); a
+null id comes first.
 
 1. Each line gets a one-permutation MinHash signature: its runs are hashed and dealt into 64 bins, each bin
    keeps the least, and an empty bin takes over that of the next full one. Sixteen bands of four bins are looked up: two lines at
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
-2. Equal lines are one node. Short band lists are paired up in full. In long ones all lines are compared with
-   two centres first; what is still in different components after two such rounds is paired up across components.
-3. Candidates are verified by their exact similarity; verified links go through distributed union-find.
+2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line. What is then
+   still in different components is paired up across components, each pair where its first equal band is.
+3. Pairs whose sizes rule the threshold out, or whose signatures agree in far fewer bins than 0.75 lets expect (three
+   deviations), are left out; all others are verified by their exact similarity. Verified links go through distributed union-find.
 
-Null and empty texts have no lines. Rows with one id and different texts are separate; equal rows are told apart by nothing, and
-their lines are judged alike. A line of any length is one line. Columns besides id and text are carried along.
+Null and empty texts have no lines. Each row of the table is judged by itself, whether or not others have its id or its text: of
+equal rows one keeps its lines. A line of any length is one line. Columns besides id and text are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,20 +25,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, table
-from gridloom.llm.components import grown
+from gridloom.llm.common import Scratch, helper, partitions_for, table
+from gridloom.llm.components import grown, outside_largest, still_open
 
 THRESHOLD = 75  # per cent
 RUN = 8
 BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
-SHORT_LIST = 24
-STAR_ROUNDS = 2
+#: Bits of a bin in a signature. A band is one 64-bit number: its bins, each with a bit to spare.
+BIN_BITS = 14
+_GUARDS = sum(1 << (BIN_BITS + 1) * k + BIN_BITS for k in range(ROWS))
+_FULL = sum(((1 << BIN_BITS) - 1) << (BIN_BITS + 1) * k for k in range(ROWS))
 #: Characters of different lines that a worker signs at once, and rows it has in hand.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 250_000
 ROWS_AT_ONCE = 256
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(31)
@@ -44,13 +48,12 @@ _SPACES = " \t\n\r\x0b\x0c"
 
 
 def _folded(c: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of eight characters at the first n places of c."""
-    z = np.full(n, RUN, np.uint64)
-    for k in range(RUN):
-        z *= _M
-        z += c[k : k + n]
+    """Hashes of the runs of eight characters at the first n places of c: of pairs, then of pairs of those, then of these."""
+    z = c
+    for k in (1, 2, 4):
+        z = z[:-k] * _M + z[k:]
         z ^= z >> _S
-    z *= _M
+    z = z[:n] * _M
     return z ^ (z >> _S)
 
 
@@ -69,11 +72,13 @@ def line_id(line: str) -> int:
 @lru_cache(maxsize=4096)
 def run_set(line: str) -> np.ndarray:
     """The distinct runs of a line, ascending."""
-    return np.unique(runs(line))
+    z = runs(line)
+    z.sort()
+    return z[np.concatenate([[True], z[1:] != z[:-1]])]
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """The sixteen band values (32-bit) of each line; all lines are gone through at once."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """The sixteen bands of each line; all lines are gone through at once."""
     n = len(lines)
     long = [x for x in lines if len(x) >= RUN]
     hashed, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -96,59 +101,71 @@ def bands(lines: list[str]) -> np.ndarray:
     place = np.where(least != none, np.arange(BINS), 4 * BINS)
     ahead = np.minimum.accumulate(np.concatenate([place, place + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS]
     least = np.take_along_axis(least, ahead % BINS, 1) + (ahead - np.arange(BINS)).astype(np.uint64)
+    few = ((least * _M) >> np.uint64(64 - BIN_BITS)).reshape(n, BANDS, ROWS)
     z = np.zeros((n, BANDS), np.uint64)
     for k in range(ROWS):
-        z = (z + least.reshape(n, BANDS, ROWS)[:, :, k]) * _M
-        z ^= z >> _S
-    return (z >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        z |= few[:, :, k] << np.uint64((BIN_BITS + 1) * k)
+    return z.view(np.int64)
 
 
 def lines_of(text: str | None) -> list[str]:
     return [x.strip(_SPACES) for x in (text or "").split("\n")]
 
 
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), kind))
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, h, no, line, bands) of docs (doc_id, h, text), one a line with something on it."""
+    """docs (doc_id, h, row, text) by lines: (doc_id, h, row, no, line, sig), and one row without a line for a text that has none.
+
+    Of equal lines that a worker has in hand at once, one carries the signature.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, numbers, places = [], [], [], []
+        keys: list[tuple] = []
+        places: list[int] = []
         known: dict[str, int] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             texts = list(known)
-            names, found = np.array([line_id(x) for x in texts], np.int64), bands(texts)
+            names = np.array([*map(line_id, texts), 0], np.int64)
             at = np.array(places, np.int64)
-            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS, pa.int32())
+            none = at < 0
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            first &= ~none
+            bands = signatures(texts)[at[first]] if texts else np.zeros((0, BANDS), np.int64)
+            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32) * BANDS
+            doc, h, row, no = zip(*keys, strict=True)
+            sig = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.concatenate([~first, [False]])), pa.array(bands.ravel(), pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(names[at], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(found[at].ravel(), pa.int32()))],
-                ["doc_id", "h", "no", "line", "bands"],
+                [pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(names[at], pa.int64(), mask=none), sig], ["doc_id", "h", "row", "no", "line", "sig"]
             )
 
         for b in batches:
             for start in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(start, ROWS_AT_ONCE)
-                for doc, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    for no, line in enumerate(lines_of(text)):
-                        if line:
-                            if line not in known:
-                                known[line] = len(known)
-                                size += len(line)
-                            ids.append(doc)
-                            keys.append(key)
-                            numbers.append(no)
-                            places.append(known[line])
-                    if size > CHARS_AT_ONCE or len(ids) > CHARS_AT_ONCE // 16:
+                for doc, h, row, text in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                    found = [(no, line) for no, line in enumerate(lines_of(text)) if line]
+                    for no, line in found or [(None, None)]:
+                        keys.append((doc, h, row, no))
+                        if line is not None and line not in known:
+                            known[line] = len(known)
+                            size += len(line)
+                        places.append(-1 if line is None else known[line])
+                    if size > CHARS_AT_ONCE or len(keys) > CHARS_AT_ONCE // 16:
                         yield flush()
-                        ids, keys, numbers, places, size = [], [], [], [], 0
+                        keys, places, size = [], [], 0
                         known.clear()
-        if ids:
+        if keys:
             yield flush()
 
-    return docs.mapInArrow(sign, "doc_id long, h long, no int, line long, bands array<int>")
+    return docs.mapInArrow(sign, "doc_id long, h long, row long, no int, line long, sig array<long>")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
     """(line, words) for every line of docs, equal ones of a batch once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,103 +176,118 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(read, "line long, words string")
 
 
+def _measured(lines: DataFrame) -> DataFrame:
+    """lines (line, words) with n, the distinct runs, agree, the equal bins that a partner must have, and sig."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(start, ROWS_AT_ONCE)
+                words = part.column("words").to_pylist()
+                n = np.array([len(run_set(x)) for x in words], np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), pa.array(least_agreement(n), pa.int32()), _lists(signatures(words), pa.int64())], ["line", "words", "n", "agree", "sig"])
+
+    return lines.select("line", "words").mapInArrow(measure, "line long, words string, n int, agree int, sig array<long>")
+
+
+def least_agreement(n: np.ndarray) -> np.ndarray:
+    """Equal bins that two lines at the threshold have with three deviations to spare, of lines of n runs: fewer runs fill fewer bins."""
+    share = THRESHOLD / 100
+    return np.ceil(BINS * share - 3 * np.sqrt(share * (1 - share)) * BINS / np.sqrt(np.minimum(BINS, np.maximum(n, 1)))).astype(np.int64)
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether lines x and y (n, agree, sig with these suffixes) have sizes and signatures that a link can have."""
+    unequal = " + ".join(f"bit_count(((sig{x}[{k}] ^ sig{y}[{k}]) + {_FULL}L) & {_GUARDS}L)" for k in range(BANDS))
+    return F.expr(f"100 * least(n{x}, n{y}) >= {THRESHOLD} * greatest(n{x}, n{y}) AND {BINS} - ({unequal}) >= least(agree{x}, agree{y})")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link and do, by their exact similarity."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
                 p, q = run_set(x), run_set(y)
-                good.append(False)
-                if 100 * min(len(p), len(q)) >= THRESHOLD * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    good[-1] = 100 * common >= THRESHOLD * (len(both) - common)
+                both = np.concatenate([p, q])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(100 * common >= THRESHOLD * (len(both) - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = lambda k: lines.select(F.col("line").alias(k), F.col("words").alias(f"w{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
+    of = lambda k, *c: lines.select(F.col("line").alias(k), *(F.col(x).alias(y) for x, y in c))
+    facts = lambda k: [(c, c + k) for c in ("n", "agree", "sig")]
+    may = pairs.join(of("a", *facts("a")), "a").join(of("b", *facts("b")), "b").where(_may_link("a", "b")).select("a", "b")
+    return may.join(of("a", ("words", "wa")), "a").join(of("b", ("words", "wb")), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """Each line with the centre of each of its lists, the line that most slices of the table hold."""
+    by = F.expr(f"shiftleft(least(c, {1 << 20}), 40) + (line & {(1 << 40) - 1}L)")
+    met = lists.join(lists.groupBy("token").agg(F.max_by("line", by).alias("y")), "token").where("line <> y")
+    return met.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
+
 
+def _open_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs of different components that meet in a list and may link, each once: in its first equal band."""
+    rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig"), "line")
+    side = lambda df, k: df.select("token", "band", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig")))
+    first = "CASE " + " ".join(f"WHEN sigx[{k}] = sigy[{k}] THEN {k}" for k in range(BANDS)) + " END"
+    met = side(rows.where("not in_most"), "x").join(side(rows, "y").drop("band"), "token").where("compx <> compy AND (in_mosty OR linex < liney)")
+    return met.where(_may_link("x", "y") & F.expr(f"band = {first}")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components (node, root) of the lines in found."""
+    entries = found.where("sig is not null").select("line", F.posexplode("sig").alias("band", "s")).select("line", "band", F.xxhash64("band", "s").alias("token"))
+    entries = entries.repartition(partitions_for(docs.sparkSession), "token")  # both uses read one exchange
+    shared = entries.groupBy("token").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("token")
+    lists = scratch.keep(entries.join(shared.hint("shuffle_hash"), "token").groupBy("token", "band", "line").agg(F.count("*").alias("c")), "lists")
+    used = lists.select("line").distinct()
+    lines = scratch.keep(_measured(_texts(docs).join(used.hint("merge"), "line", "left_semi").dropDuplicates(["line"])), "texts")
 
-def _with_components(lists: DataFrame, done: DataFrame) -> DataFrame:
-    """The lists that hold more than one component, with each entry's component."""
-    known = lists.drop("comp").join(done.select(F.col("node").alias("line"), F.col("root").alias("comp")), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    several = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return known.join(several, "token", "left_semi")
+    done = grown(None, scratch.keep(_verified(_star_pairs(lists), lines), "links_star"), scratch, "comp_star")
+    rest = scratch.keep(still_open(lists, done, "line"), "open")
+    return grown(done, scratch.keep(_verified(_open_pairs(rest, lines), lines), "links_rest"), scratch, "comp_rest")
 
 
-def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    h = F.xxhash64("line", "token", F.lit(turn)) if turn else F.xxhash64("line")  # later each list has centres of its own
-    ends = lists.groupBy("token").agg(F.min_by(F.struct("line", "comp"), h).alias("lo"), F.max_by(F.struct("line", "comp"), h).alias("hi"))
-    met = lists.join(ends, "token").withColumn("y", F.explode(F.array("lo", "hi"))).where("comp <> y.comp")
-    return met.select(*_ordered("line", "y.line")).distinct()
+def _judged(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs (doc_id, h, row, text) by lines, with component and kept; a text without lines has one row with no null."""
+    found = scratch.keep(_signed(docs), "lines")
+    done = _linked(found, docs, scratch).select(F.col("node").alias("line"), "root")
+    where = F.struct("doc_id", "h", "row", "no")
+    # First places go from equal lines to components, so that a line's rows are one partial result a task.
+    lines = found.where("line is not null").groupBy("line").agg(F.min(where).alias("at"), F.count("*").alias("c"))
+    known = scratch.keep(lines.join(done, "line", "left").withColumn("component", F.coalesce("root", "line")).select("line", "component", "at", "c"), "known")
+    first = known.groupBy("component").agg(F.min("at").alias("first"), F.sum("c").alias("c")).where("c > 1").select("component", "first")
+    contested = known.join(first, "component").select("line", "component", "first")
+    rows = found.drop("sig").join(contested, "line", "left")
+    return rows.select("doc_id", "h", "row", "no", "line", F.coalesce("component", "line").alias("component"), (F.col("first").isNull() | F.col("first").eqNullSafe(where)).alias("kept"))
 
 
-def _open_pairs(lists: DataFrame) -> DataFrame:
-    most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
-    rows = lists.join(most, "token")
-    x = rows.where("comp <> most").select("token", F.col("line").alias("x"), F.col("comp").alias("cx"))
-    y = rows.select("token", F.col("line").alias("y"), F.col("comp").alias("cy"), "most")
-    return x.join(y, "token").where("cx <> cy AND (cy = most OR x < y)").select(*_ordered("x", "y")).distinct()
+def _keyed(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), row.alias("row"), F.col(text_col).alias("text"))
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line that is not blank: doc_id, h (hash of the row's text), no, line (its id), component, kept."""
-    scratch = Scratch(docs.sparkSession, "line_dedup")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    found = scratch.keep(_signed(keyed), "lines")
-    nodes = found.groupBy("line").agg(F.any_value("bands").alias("bands"))
-    entries = nodes.select("line", F.posexplode("bands").alias("k", "v")).select("line", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v")).alias("token"))
-    entries = entries.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    lengths = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    lists = scratch.keep(entries.join(lengths, "token"), "lists")
-    scratch.release()
-
-    short = lists.where(F.col("length") <= SHORT_LIST)
-    pairs = short.select("token", F.col("line").alias("x")).join(short.select("token", F.col("line").alias("y")), "token").where("x < y").select(*_ordered("x", "y")).distinct()
-    pairs = scratch.keep(pairs, "short_pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(lists.where(F.col("length") > SHORT_LIST).select("line")).distinct()
-    lines = scratch.keep(_lines(keyed).join(used.hint("merge"), "line", "left_semi").dropDuplicates(["line"]), "texts")
-    scratch.release()
-
-    long, done = lists.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("line")), None
-    for turn in range(STAR_ROUNDS):
-        met = _star_pairs(long, turn)
-        links = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), lines), f"links_{turn}")
-        done = grown(done, links, scratch, f"comp_{turn}")
-        long = scratch.keep(_with_components(long, done), f"open_{turn}")
-        scratch.drop(f"open_{turn - 1}")
-        if long.isEmpty():
-            break
-    else:
-        done = grown(done, scratch.keep(_verified(_open_pairs(long), lines), "links_rest"), scratch, "comp_rest")
-    scratch.drop("lists", "texts", "short_pairs")
-    scratch.release()
-    rows = found.select("doc_id", "h", "no", "line").join(done.select(F.col("node").alias("line"), F.col("root").alias("component")), "line", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "line"))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h", "no")).alias("first"))
-    return rows.join(first, "component").select("doc_id", "h", "no", "line", "component", (F.struct("doc_id", "h", "no").eqNullSafe(F.col("first"))).alias("kept"))
+    """One row a line that is not blank: doc_id, h (hash of the row's text), row (its number), no, line (its id), component, kept."""
+    return _judged(_keyed(docs, id_col, text_col, F.monotonically_increasing_id()), Scratch(docs.sparkSession, "line_dedup")).where("no is not null")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the lines that are kept; blank lines and all other columns stay."""
-    gone = judge_lines(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_gone"))
-    joined = docs.withColumn("_th", F.xxhash64(text_col)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    scratch, row, gone = Scratch(docs.sparkSession, "line_dedup"), helper("row"), helper("gone")
+    # Rows are numbered once: two runs of one plan may number them differently.
+    numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    lost = _judged(_keyed(numbered, id_col, text_col, F.col(row)), scratch).where("not kept").groupBy(F.col("row").alias(row)).agg(F.collect_set("no").alias(gone))
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    return numbered.join(lost, row, "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its lines that are not blank, how many stay, and the numbers of those that go."""
-    docs = table(spark, sf_dir, "documents")
-    judged = judge_lines(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("dropped")
-    )
-    blank = F.array().cast("array<int>")
-    return docs.select("doc_id").distinct().join(judged, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.coalesce("dropped", blank).alias("dropped")
-    )
+    judged = _judged(_keyed(table(spark, sf_dir, "documents"), "doc_id", "text", F.monotonically_increasing_id()), Scratch(spark, "line_dedup"))
+    lost = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no"))))
+    out = judged.groupBy("row", "doc_id").agg(F.count("no").alias("n_lines"), F.count_if(F.col("kept") & F.col("no").isNotNull()).alias("n_kept"), lost.alias("dropped"))
+    return out.select("doc_id", "n_lines", "n_kept", "dropped")

@@ -24,8 +24,9 @@ Steps, each a table in the shared folder:
 
 Verification is exact: whole sets are intersected. No list, group or candidate is capped.
 
-A document without words has no shingles and links to nothing. Rows with a null id are kept and join the group of
-an equal set that has an id; they make no links of their own, and their component is null without such a set. Rows with one id and different texts are separate rows. Extra columns are not read.
+A document without words has no shingles and links to nothing. Rows with a null id link like others; their component is the least id
+that links reach, null if there is none. Rows with one id and different texts are separate rows; repeated rows are copies. A text of
+any length is one set, held by one worker. Ties: where two orders or centres are as good, hashes decide. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, table
-from gridloom.llm.components import grown
+from gridloom.llm.common import Scratch, helper, partitions_for, table
+from gridloom.llm.components import grown, outside_largest, still_open
 from gridloom.llm.shingles import set_id, shingles
 
 THRESHOLD = 75  # per cent
@@ -46,8 +47,11 @@ THRESHOLD = 75  # per cent
 FREQUENT = 12
 FREQUENT_MOST = 1 << 19
 #: Shingles are counted by their upper 40 bits.
-_FP_SHIFT = np.uint64(24)
-_LOW_BITS = 32
+_FP_SHIFT, _FP_BITS = np.uint64(24), 40
+#: Bits of the number of ranges in which they are counted: enough for two ranges a shuffle partition, within these bounds.
+_RANGE_BITS = (8, 20)
+#: Sets that a task remembers so as to send the prefix of copies once.
+SEEN_SETS = 200_000
 MAX_MATCHES = 4
 #: Cost of verifying a candidate in units of reading one list entry.
 VERIFY_COST = 40.0
@@ -76,9 +80,12 @@ def _texts(b: pa.RecordBatch, column: str) -> list[bytes | None]:
 def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Upper 40 bits of the most frequent shingles, ascending, with the number of documents that hold each.
 
-    Tasks send packed runs instead of rows: for each of 256 ranges of shingles, the sorted lower parts, and the counts
+    Tasks send packed runs instead of rows: for each range of shingles, the sorted lower parts, and the counts
     of those that the task met more than once. A frequent shingle so takes eight bytes a task, however many rows have it.
+    There are as many ranges as shuffle partitions, twice over at least: a range is no more than a partition's share.
     """
+    bits = min(_RANGE_BITS[1], max(_RANGE_BITS[0], (2 * partitions_for(docs.sparkSession) - 1).bit_length()))
+    low_bits = _FP_BITS - bits
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -86,8 +93,8 @@ def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarr
 
         def flush() -> Iterator[pa.RecordBatch]:
             fp, n = np.unique(np.concatenate(held) >> _FP_SHIFT, return_counts=True)
-            cuts = np.searchsorted(fp, np.arange(257, dtype=np.uint64) << np.uint64(_LOW_BITS))
-            low = fp.astype("<u4")
+            cuts = np.searchsorted(fp, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low_bits))
+            low = (fp & np.uint64((1 << low_bits) - 1)).astype("<u4")
             rows = [(k, low[a:z].tobytes(), low[a:z][n[a:z] > 1].tobytes(), (n[a:z][n[a:z] > 1] - 1).astype("<u4").tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "once", "more", "extra"])
@@ -111,7 +118,7 @@ def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarr
         n = n.astype(np.int64)
         np.add.at(n, np.searchsorted(fp, more), extra)
         often = n >= FREQUENT
-        high = np.int64(t["range"][0].as_py()) << _LOW_BITS
+        high = np.int64(t["range"][0].as_py()) << low_bits
         return pa.table({"fp": fp[often].astype(np.int64) + high, "n": n[often]})
 
     runs = docs.select(text_col).mapInArrow(packed, "range int, once binary, more binary, extra binary")
@@ -148,34 +155,45 @@ def prefix(s: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, in
     return whole[: base + m - 1], m
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows of a table apart, but for repeated ones."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def _signed(docs: DataFrame, fp: np.ndarray, n: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, n, cls, matches, prefix of every row; of copies that a task meets, the first has the prefix."""
     lists = docs.sparkSession.sparkContext.broadcast((fp, n))  # FREQUENT_MOST entries at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, n = lists.value
+        (fp, n), seen = lists.value, set()
         for b in _slices(batches):
             rows = []
             for text in _texts(b, "t"):
                 s = shingles(text)
                 p, m = prefix(s, fp, n)
-                rows.append((len(s), set_id(s), m, p.view(np.int64)))
+                cls = set_id(s)
+                rows.append((len(s), cls, m, None if cls in seen else p.view(np.int64)))
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(cls)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("i"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "cls", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "key", "n", "cls", "matches", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(sign, "doc_id long, n long, cls long, matches int, prefix array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(sign, "doc_id long, key long, n long, cls long, matches int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, tokens) of the documents in wanted (doc_id)."""
+    """(cls, tokens) of the rows in wanted (key), each set once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            found = [shingles(t) for t in _texts(b, "t")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cls", "tokens"])
+            found = {set_id(s): s.view(np.int64) for s in map(shingles, _texts(b, "t"))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted.hint("merge"), "doc_id", "left_semi")
-    return rows.select("t").mapInArrow(read, "cls long, tokens array<long>")
+    rows = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(wanted.hint("merge"), "key", "left_semi")
+    return rows.select("t").mapInArrow(read, "cls long, tokens array<long>").dropDuplicates(["cls"])
 
 
 def _fits(a: str, b: str) -> Column:
@@ -234,9 +252,8 @@ def _open_pairs(lists: DataFrame) -> DataFrame:
     Both have all they share in lists that are open. A pair that needs k matches has k - 1 more behind the first, so its
     first meeting, in the order of shingles, is where both sets have k entries left; later meetings are not looked at.
     """
-    most = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
     left = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("token")))  # at most a prefix's entries a set
-    rows = lists.withColumn("left", left).join(most, "token").withColumn("in_most", F.col("comp") == F.col("most"))
+    rows = outside_largest(lists.withColumn("left", left))
     x, y = _side(rows.where(~F.col("in_most")), "x", "comp", "left"), _side(rows, "y", "comp", "left", "in_most")
     # Both outside the largest component: such a pair comes up from either side, so one side is enough.
     met = x.join(y, "token").where((F.col("compx") != F.col("compy")) & (F.col("in_mosty") | (F.col("clsx") < F.col("clsy"))) & _fits("nx", "ny") & (_need() <= F.least("leftx", "lefty")))
@@ -250,31 +267,27 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").where(100 * common >= THRESHOLD * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, key, n (size of its set) and root, the same for all sets that links connect."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram_join")
     fp, n = frequent_shingles(docs, text_col)
     signed = scratch.keep(_signed(docs, fp, n, id_col, text_col), "signed")
-    scratch.release()
-    members = scratch.keep(signed.select("doc_id", "n", "cls"), "members")
+    members = scratch.keep(signed.select("doc_id", "key", "n", "cls"), "members")
 
-    # Both uses of the entries read one exchange.
-    entries = signed.select("cls", F.explode("prefix").alias("token")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").distinct()
+    # Both uses of the entries read one exchange; copies have sent one prefix a task.
+    entries = signed.where("prefix is not null").select("cls", F.explode("prefix").alias("token")).repartition(partitions_for(spark), "token").distinct()
     lengths = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
     shared = scratch.keep(entries.join(lengths, "token"), "shared_ids")
-    classes = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("matches").alias("matches"))
+    classes = signed.groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("matches").alias("matches"))
     held = shared.groupBy("cls").agg(F.count_if(F.col("length") > SHORT_LIST).alias("h"))
     classes = scratch.keep(classes.join(held, "cls"), "classes")
     scratch.drop("signed")
-    scratch.release()
-    shared = scratch.keep(shared.join(classes.drop("doc_id"), "cls"), "shared")
+    shared = scratch.keep(shared.join(classes.drop("key"), "cls"), "shared")
     scratch.drop("shared_ids")
     pairs = scratch.keep(_short_pairs(shared.where(F.col("length") <= SHORT_LIST)), "short_pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(classes.where("h > 0").select("cls")).distinct()
-    scratch.release()
-    sets = scratch.keep(_sets(docs, classes.join(used, "cls", "left_semi").select("doc_id"), id_col, text_col), "sets")
-    scratch.release()
+    sets = scratch.keep(_sets(docs, classes.join(used, "cls", "left_semi").select("key"), id_col, text_col), "sets")
 
     lists = shared.where(F.col("length") > SHORT_LIST).withColumn("comp", F.col("cls"))
     done = None
@@ -282,37 +295,35 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met = _star_pairs(lists, turn)
         found = scratch.keep(_verified(met if turn else met.union(pairs).distinct(), sets), f"links_{turn}")
         done = grown(done, found, scratch, f"comp_{turn}")
-        lists = scratch.keep(_still_open(shared, done), f"open_{turn}")
+        lists = scratch.keep(still_open(lists, done, "cls"), f"open_{turn}")
         scratch.drop(f"open_{turn - 1}")
-        scratch.release()
         if lists.isEmpty():
             break
     else:
         done = grown(done, scratch.keep(_verified(_open_pairs(lists), sets), "links_rest"), scratch, "comp_rest")
-    whole = members.join(done.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
-    least = whole.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = whole.join(least, "root", "left")
-    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
+    root = done.select(F.col("node").alias("cls"), "root")
+    out = scratch.keep(members.join(root, "cls", "left").select("doc_id", "key", "n", F.coalesce("root", "cls").alias("root")), "grouped")
     scratch.drop("shared", "sets", "classes", "members", "short_pairs", f"open_{turn}")
-    scratch.release()
     return out
 
 
-def _still_open(shared: DataFrame, done: DataFrame) -> DataFrame:
-    """The long lists that hold more than one component, with each entry's component."""
-    lists = shared.where(F.col("length") > SHORT_LIST).join(done.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
-    lists = lists.withColumn("comp", F.coalesce("comp", "cls"))
-    several = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return lists.join(several, "token", "left_semi")
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    rows = _grouped(docs, id_col, text_col)
+    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the least id stays, with all its columns.
+    """docs without near copies: of each component the row with the least id stays (no id: the last), with all its columns.
 
-    Rows that repeat that id are taken for the same document, and one of them stays. Of rows with a null id one stays for each text.
+    Rows of one id and different texts are different documents. Rows that are alike in id and text are one. A document without words stays.
     """
-    keep = link_documents(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    rows, key = _grouped(docs, id_col, text_col), helper("key")
+    first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    keep = first.select(F.col("first.key").alias(key)).union(rows.where("n = 0").select("key")).distinct()
+    return docs.withColumn(key, _row_key(id_col, text_col)).join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

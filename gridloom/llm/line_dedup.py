@@ -19,7 +19,7 @@ equal rows one keeps its lines. A line of any length is one line. Columns beside
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,29 +40,35 @@ BIN_BITS = 14
 _GUARDS = sum(1 << (BIN_BITS + 1) * k + BIN_BITS for k in range(ROWS))
 _FULL = sum(((1 << BIN_BITS) - 1) << (BIN_BITS + 1) * k for k in range(ROWS))
 #: Characters of different lines that a worker signs at once, and rows it has in hand.
-CHARS_AT_ONCE = 250_000
+CHARS_AT_ONCE, BLOCK_CHARS = 1_000_000, 30_000
 ROWS_AT_ONCE = 256
-_M = np.uint64(0x9E3779B97F4A7C15)
-_S = np.uint64(31)
+_ODD = 0x9E3779B97F4A7C15
 _SPACES = " \t\n\r\x0b\x0c"
 
 
-def _folded(c: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of eight characters at the first n places of c: of pairs, then of pairs of those, then of these."""
-    z = c
+def _folded(c: np.ndarray, odd: int, shift: int) -> np.ndarray:
+    """Hashes of the runs of eight characters in c: of pairs, then of pairs of those, then of these."""
+    z, odd, shift = c, c.dtype.type(odd), c.dtype.type(shift)
     for k in (1, 2, 4):
-        z = z[:-k] * _M + z[k:]
-        z ^= z >> _S
-    z = z[:n] * _M
-    return z ^ (z >> _S)
+        z = z[:-k] * odd + z[k:]
+        z ^= z >> shift
+    z *= odd
+    z ^= z >> shift
+    return z
+
+
+def _codes(lines: Iterable[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "replace"), "<u4")
+
+
+def _filled(line: str) -> str:
+    """A short line is filled up with what no line has, so that it is one run."""
+    return line if len(line) >= RUN else line.ljust(RUN, "\n")
 
 
 def runs(line: str) -> np.ndarray:
-    """Hashes of a line's runs of eight characters, one for each place; a shorter line is filled up with its length."""
-    c = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    if len(c) < RUN:
-        c = np.concatenate([c, np.full(RUN - len(c), (1 << 32) + len(c), np.uint64)])
-    return _folded(c, len(c) - RUN + 1)
+    """Hashes of a line's runs of eight characters, one for each place."""
+    return _folded(_codes([_filled(line)]).astype(np.uint64), _ODD, 31)
 
 
 def line_id(line: str) -> int:
@@ -77,37 +83,42 @@ def run_set(line: str) -> np.ndarray:
     return z[np.concatenate([[True], z[1:] != z[:-1]])]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The sixteen bands of each line; all lines are gone through at once."""
-    n = len(lines)
-    long = [x for x in lines if len(x) >= RUN]
-    hashed, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.array([k for k, x in enumerate(lines) if len(x) >= RUN], np.int64)
-    if long:
-        c = np.frombuffer("".join(long).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-        size = np.array([len(x) for x in long], np.int64)
-        # Runs that would go on into the next line are left out: the last seven places of each line.
-        inside = np.ones(len(c), bool)
-        inside[(np.cumsum(size)[:, None] - np.arange(1, RUN)).ravel()] = False
-        hashed, owner = _folded(c, len(c) - RUN + 1)[inside[: len(c) - RUN + 1]], np.repeat(at, size - RUN + 1)
-    short = [k for k, x in enumerate(lines) if len(x) < RUN]
-    hashed = np.concatenate([hashed, *(runs(lines[k]) for k in short)])
-    owner = np.concatenate([owner, np.array(short, np.int64)])
-    none = np.iinfo(np.uint64).max
-    least = np.full(n * BINS, none, np.uint64)
-    np.minimum.at(least, owner * BINS + (hashed >> np.uint64(58)).astype(np.int64), hashed << np.uint64(6))
-    least = least.reshape(n, BINS)
+def _block(lines: list[str]) -> np.ndarray:
+    n, size = len(lines), np.fromiter(map(len, lines), np.int64, len(lines))
+    hashed = _folded(_codes(lines), _ODD & 0xFFFFFFFF, 15)
+    slot = np.repeat(np.arange(0, n * BINS, BINS), size)[: len(hashed)]
+    slot += (hashed >> np.uint32(26)).astype(np.int64)
+    # Runs that go on into the next line, the last seven places of each line, belong to none.
+    slot[(np.cumsum(size)[:-1, None] - np.arange(1, RUN)).ravel()] = n * BINS
+    none = np.uint32(0xFFFFFFFF)
+    least = np.full(n * BINS + 1, none, np.uint32)
+    np.minimum.at(least, slot, hashed << np.uint32(6))
+    least = least[:-1].reshape(n, BINS)
     # The next full bin, around the end; the distance is mixed in, as the runs of another bin mean something else.
     place = np.where(least != none, np.arange(BINS), 4 * BINS)
     ahead = np.minimum.accumulate(np.concatenate([place, place + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS]
-    least = np.take_along_axis(least, ahead % BINS, 1) + (ahead - np.arange(BINS)).astype(np.uint64)
-    few = ((least * _M) >> np.uint64(64 - BIN_BITS)).reshape(n, BANDS, ROWS)
+    mixed = np.take_along_axis(least, ahead % BINS, 1).astype(np.uint64) + (ahead - np.arange(BINS)).astype(np.uint64)
+    few = ((mixed * np.uint64(_ODD)) >> np.uint64(64 - BIN_BITS)).reshape(n, BANDS, ROWS)
     z = np.zeros((n, BANDS), np.uint64)
     for k in range(ROWS):
         z |= few[:, :, k] << np.uint64((BIN_BITS + 1) * k)
     return z.view(np.int64)
 
 
+def signatures(lines: list[str]) -> np.ndarray:
+    """The sixteen bands of each line; as many lines as have some BLOCK_CHARS characters are gone through at once."""
+    found, block, size = [np.zeros((0, BANDS), np.int64)], [], 0
+    for line in map(_filled, lines):
+        block.append(line)
+        size += len(line)
+        if size > BLOCK_CHARS:
+            found.append(_block(block))
+            block, size = [], 0
+    if block:
+        found.append(_block(block))
+    return np.concatenate(found)
+
+
 def lines_of(text: str | None) -> list[str]:
     return [x.strip(_SPACES) for x in (text or "").split("\n")]
 
@@ -136,10 +147,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             first = np.zeros(len(at), bool)
             first[np.unique(at, return_index=True)[1]] = True
             first &= ~none
-            bands = signatures(texts)[at[first]] if texts else np.zeros((0, BANDS), np.int64)
-            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32) * BANDS
+            packed = signatures(texts).tobytes()
+            sig = pa.array([packed[8 * BANDS * k : 8 * BANDS * (k + 1)] if f else None for k, f in zip(places, first, strict=True)], pa.binary())
             doc, h, row, no = zip(*keys, strict=True)
-            sig = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.concatenate([~first, [False]])), pa.array(bands.ravel(), pa.int64()))
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(names[at], pa.int64(), mask=none), sig], ["doc_id", "h", "row", "no", "line", "sig"]
             )
@@ -162,7 +172,43 @@ def _signed(docs: DataFrame) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.mapInArrow(sign, "doc_id long, h long, row long, no int, line long, sig array<long>")
+    return docs.mapInArrow(sign, "doc_id long, h long, row long, no int, line long, sig binary")
+
+
+def _lists_of(signed: DataFrame) -> DataFrame:
+    """(token, line, c) of the bands that two or more different lines of signed (line, sig) have; c: how often the line came.
+
+    A token is a band's hash with the band's number in its last bits. Partitions are sorted by token and gone through once, with
+    one entry in hand, so that a list of any length takes no memory.
+    """
+    tokens = F.array(*[F.expr(f"(xxhash64(substring(sig, {8 * k + 1}, 8)) & -{BANDS}L) | {k}L") for k in range(BANDS)])
+    entries = signed.select("line", F.explode(tokens).alias("token")).select("token", "line").repartition(partitions_for(signed.sparkSession), "token")
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last entry so far, how often it came, and whether its token has had another line.
+        token, line, c, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+        def taken(mask: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[mask]) for x in (token, line, c)], ["token", "line", "c"])
+
+        for b in batches:
+            before = token[:1]
+            token, line = (np.concatenate([x, b.column(k).to_numpy()]) for x, k in ((token, "token"), (line, "line")))
+            if not len(token):
+                continue
+            c = np.concatenate([c, np.ones(len(token) - len(c), np.int64)])
+            starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (line[1:] != line[:-1])]))
+            token, line, c = token[starts], line[starts], np.add.reduceat(c, starts)
+            same = token[1:] == token[:-1]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if open_:
+                shared |= token == before[0]
+            yield taken(np.flatnonzero(shared[:-1]))
+            token, line, c, open_ = token[-1:], line[-1:], c[-1:], bool(shared[-1])
+        if open_:
+            yield taken(np.array([0]))
+
+    return entries.sortWithinPartitions("token", "line").mapInArrow(several, "token long, line long, c long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -232,20 +278,17 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
 def _open_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a list and may link, each once: in its first equal band."""
     rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig"), "line")
-    side = lambda df, k: df.select("token", "band", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig")))
+    side = lambda df, k: df.select("token", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig")))
     first = "CASE " + " ".join(f"WHEN sigx[{k}] = sigy[{k}] THEN {k}" for k in range(BANDS)) + " END"
-    met = side(rows.where("not in_most"), "x").join(side(rows, "y").drop("band"), "token").where("compx <> compy AND (in_mosty OR linex < liney)")
-    return met.where(_may_link("x", "y") & F.expr(f"band = {first}")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
+    met = side(rows.where("not in_most"), "x").join(side(rows, "y"), "token").where("compx <> compy AND (in_mosty OR linex < liney)")
+    return met.where(_may_link("x", "y") & F.expr(f"(token & {BANDS - 1}L) = {first}")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
 
 
 def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The components (node, root) of the lines in found."""
-    entries = found.where("sig is not null").select("line", F.posexplode("sig").alias("band", "s")).select("line", "band", F.xxhash64("band", "s").alias("token"))
-    entries = entries.repartition(partitions_for(docs.sparkSession), "token")  # both uses read one exchange
-    shared = entries.groupBy("token").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("token")
-    lists = scratch.keep(entries.join(shared.hint("shuffle_hash"), "token").groupBy("token", "band", "line").agg(F.count("*").alias("c")), "lists")
+    lists = scratch.keep(_lists_of(found.where("sig is not null")), "lists")
     used = lists.select("line").distinct()
-    lines = scratch.keep(_measured(_texts(docs).join(used.hint("merge"), "line", "left_semi").dropDuplicates(["line"])), "texts")
+    lines = scratch.keep(_measured(_texts(docs).join(used.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"])), "texts")
 
     done = grown(None, scratch.keep(_verified(_star_pairs(lists), lines), "links_star"), scratch, "comp_star")
     rest = scratch.keep(still_open(lists, done, "line"), "open")

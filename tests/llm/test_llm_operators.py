@@ -285,7 +285,9 @@ def line_groups(rows):
     return {x: find(x) for x in sets}
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_line_dedup(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # lists that go on from batch to batch
     r = random.Random(7)
     base = prose(31, 40)
     edit = lambda x: x[: (p := r.randrange(len(x)))] + "#" + x[p + 1 :]
@@ -317,6 +319,7 @@ def test_line_dedup(spark):
     assert sum(d.text is None for d in left) == sum(t is None for _, t in rows)
     assert sorted(d.text for d in left if d.doc_id == 200) == ["", "twice over\nand over again"]
     assert line_dedup.judge_lines(empty(spark)).count() == 0 and line_dedup.dedup_lines(empty(spark)).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_bands_and_signatures_find_lines_at_the_threshold():

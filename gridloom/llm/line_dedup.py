@@ -10,8 +10,8 @@ null id comes first.
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
 2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line. What is then
    still in different components is paired up across components, each pair where its first equal band is.
-3. Pairs whose sizes rule the threshold out, or whose signatures agree in far fewer bins than 0.75 lets expect (three
-   deviations), are left out; all others are verified by their exact similarity. Verified links go through distributed union-find.
+3. Pairs whose sizes rule the threshold out, or whose finer MinHash sketches agree in far fewer bins than 0.75 lets expect
+   (three deviations), are left out; all others are verified by their exact similarity. Verified links go through distributed union-find.
 
 Null and empty texts have no lines. Each row of the table is judged by itself, whether or not others have its id or its text: of
 equal rows one keeps its lines. A line of any length is one line. Columns besides id and text are carried along. An empty table gives no rows.
@@ -19,7 +19,7 @@ equal rows one keeps its lines. A line of any length is one line. Columns beside
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +35,20 @@ THRESHOLD = 75  # per cent
 RUN = 8
 BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
-#: Bits of a bin in a signature. A band is one 64-bit number: its bins, each with a bit to spare.
-BIN_BITS = 14
-_GUARDS = sum(1 << (BIN_BITS + 1) * k + BIN_BITS for k in range(ROWS))
-_FULL = sum(((1 << BIN_BITS) - 1) << (BIN_BITS + 1) * k for k in range(ROWS))
+#: Bits of a bin in a signature. A band is one 64-bit number: its bins, side by side.
+BIN_BITS = 15
+#: Lines that meet in a band have a finer sketch as well: 240 bins of three bits, 15 to a number, each with a bit to spare.
+SKETCH_BITS, SKETCH_LANES, SKETCH_WORDS = 3, 15, 16
+SKETCH_BINS = SKETCH_LANES * SKETCH_WORDS
+_GUARDS = sum(8 << 4 * k for k in range(SKETCH_LANES))
+_FULL = sum(7 << 4 * k for k in range(SKETCH_LANES))
+#: Bits of the filter that picks the lines whose texts are fetched: 8 MB at any size. Where it is full it passes lines that a join then sorts out.
+FILTER_BITS = 26
 #: Characters of different lines that a worker signs at once, and rows it has in hand.
 CHARS_AT_ONCE, BLOCK_CHARS = 1_000_000, 30_000
 ROWS_AT_ONCE = 256
 _ODD = 0x9E3779B97F4A7C15
+_PROBES = (3, 33)
 _SPACES = " \t\n\r\x0b\x0c"
 
 
@@ -83,48 +89,60 @@ def run_set(line: str) -> np.ndarray:
     return z[np.concatenate([[True], z[1:] != z[:-1]])]
 
 
-def _block(lines: list[str]) -> np.ndarray:
+def _least(lines: list[str], bins: int) -> np.ndarray:
+    """For each line and bin the least hash of the runs dealt to it; an empty bin has the next full one's, with the distance mixed in."""
     n, size = len(lines), np.fromiter(map(len, lines), np.int64, len(lines))
     hashed = _folded(_codes(lines), _ODD & 0xFFFFFFFF, 15)
-    slot = np.repeat(np.arange(0, n * BINS, BINS), size)[: len(hashed)]
-    slot += (hashed >> np.uint32(26)).astype(np.int64)
+    slot = np.repeat(np.arange(0, n * bins, bins), size)[: len(hashed)]
+    slot += ((hashed >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)).astype(np.int64)
     # Runs that go on into the next line, the last seven places of each line, belong to none.
-    slot[(np.cumsum(size)[:-1, None] - np.arange(1, RUN)).ravel()] = n * BINS
+    slot[(np.cumsum(size)[:-1, None] - np.arange(1, RUN)).ravel()] = n * bins
     none = np.uint32(0xFFFFFFFF)
-    least = np.full(n * BINS + 1, none, np.uint32)
-    np.minimum.at(least, slot, hashed << np.uint32(6))
-    least = least[:-1].reshape(n, BINS)
-    # The next full bin, around the end; the distance is mixed in, as the runs of another bin mean something else.
-    place = np.where(least != none, np.arange(BINS), 4 * BINS)
-    ahead = np.minimum.accumulate(np.concatenate([place, place + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS]
-    mixed = np.take_along_axis(least, ahead % BINS, 1).astype(np.uint64) + (ahead - np.arange(BINS)).astype(np.uint64)
-    few = ((mixed * np.uint64(_ODD)) >> np.uint64(64 - BIN_BITS)).reshape(n, BANDS, ROWS)
-    z = np.zeros((n, BANDS), np.uint64)
-    for k in range(ROWS):
-        z |= few[:, :, k] << np.uint64((BIN_BITS + 1) * k)
+    least = np.full(n * bins + 1, none, np.uint32)
+    np.minimum.at(least, slot, (hashed * np.uint32(0x85EBCA6B)) & ~np.uint32(1))
+    least = least[:-1].reshape(n, bins)
+    place = np.where(least != none, np.arange(bins), 4 * bins)
+    ahead = np.minimum.accumulate(np.concatenate([place, place + bins], 1)[:, ::-1], 1)[:, ::-1][:, :bins]
+    mixed = np.take_along_axis(least, ahead % bins, 1).astype(np.uint64) + ((ahead - np.arange(bins)).astype(np.uint64) << np.uint64(32))
+    return mixed * np.uint64(_ODD)
+
+
+def _packed(least: np.ndarray, words: int, bits: int, stride: int) -> np.ndarray:
+    """The first bits of each bin, as many bins to a number as there are to a word."""
+    few = (least >> np.uint64(64 - bits)).reshape(len(least), words, -1)
+    z = np.zeros((len(least), words), np.uint64)
+    for k in range(few.shape[2]):
+        z |= few[:, :, k] << np.uint64(stride * k)
     return z.view(np.int64)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The sixteen bands of each line; as many lines as have some BLOCK_CHARS characters are gone through at once."""
-    found, block, size = [np.zeros((0, BANDS), np.int64)], [], 0
+def _by_blocks(lines: list[str], f: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """f of the lines, as many at once as have some BLOCK_CHARS characters."""
+    found, block, size = [], [], 0
     for line in map(_filled, lines):
         block.append(line)
         size += len(line)
         if size > BLOCK_CHARS:
-            found.append(_block(block))
+            found.append(f(block))
             block, size = [], 0
-    if block:
-        found.append(_block(block))
-    return np.concatenate(found)
+    return np.concatenate([*found, f(block)] if block or not found else found)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The sixteen bands of each line."""
+    return _by_blocks(lines, lambda x: _packed(_least(x, BINS), BANDS, BIN_BITS, BIN_BITS)) if lines else np.zeros((0, BANDS), np.int64)
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    return _by_blocks(lines, lambda x: _packed(_least(x, SKETCH_BINS), SKETCH_WORDS, SKETCH_BITS, SKETCH_BITS + 1)) if lines else np.zeros((0, SKETCH_WORDS), np.int64)
 
 
 def lines_of(text: str | None) -> list[str]:
     return [x.strip(_SPACES) for x in (text or "").split("\n")]
 
 
-def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), kind))
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -179,51 +197,69 @@ def _lists_of(signed: DataFrame) -> DataFrame:
     """(token, line, c) of the bands that two or more different lines of signed (line, sig) have; c: how often the line came.
 
     A token is a band's hash with the band's number in its last bits. Partitions are sorted by token and gone through once, with
-    one entry in hand, so that a list of any length takes no memory.
+    a batch and one entry in hand, so that a list of any length takes no memory.
     """
     tokens = F.array(*[F.expr(f"(xxhash64(substring(sig, {8 * k + 1}, 8)) & -{BANDS}L) | {k}L") for k in range(BANDS)])
     entries = signed.select("line", F.explode(tokens).alias("token")).select("token", "line").repartition(partitions_for(signed.sparkSession), "token")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last entry so far, how often it came, and whether its token has had another line.
-        token, line, c, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
-
-        def taken(mask: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[mask]) for x in (token, line, c)], ["token", "line", "c"])
+        # The last token so far; its one line and how often it came, if no other line has it yet.
+        last, pending = None, None
 
         for b in batches:
-            before = token[:1]
-            token, line = (np.concatenate([x, b.column(k).to_numpy()]) for x, k in ((token, "token"), (line, "line")))
+            token, line = (b.column(k).to_numpy() for k in ("token", "line"))
             if not len(token):
                 continue
-            c = np.concatenate([c, np.ones(len(token) - len(c), np.int64)])
+            c = np.ones(len(token), np.int64)
+            known = last == token[0] and pending is None
+            if pending is not None:
+                token, line, c = (np.concatenate([[x], y]) for x, y in zip((last, *pending), (token, line, c), strict=True))
+            same = token[1:] == token[:-1]
+            # Only tokens that come again; equal lines of a token are put together.
+            at = np.flatnonzero(np.concatenate([[known], same]) | np.concatenate([same, [True]]) | (known & (token == token[0])))
+            at = at[np.lexsort((line[at], token[at]))]
+            token, line, c = token[at], line[at], c[at]
             starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (line[1:] != line[:-1])]))
             token, line, c = token[starts], line[starts], np.add.reduceat(c, starts)
             same = token[1:] == token[:-1]
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if open_:
-                shared |= token == before[0]
-            yield taken(np.flatnonzero(shared[:-1]))
-            token, line, c, open_ = token[-1:], line[-1:], c[-1:], bool(shared[-1])
-        if open_:
-            yield taken(np.array([0]))
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (known & (token == last))
+            last, pending = token[-1], None if shared[-1] else (line[-1], c[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (token, line, c)], ["token", "line", "c"])
 
-    return entries.sortWithinPartitions("token", "line").mapInArrow(several, "token long, line long, c long")
+    found = entries.sortWithinPartitions("token").mapInArrow(several, "token long, line long, c long")
+    return found.groupBy("token", "line").agg(F.sum("c").alias("c"))  # of a list that goes over batches, a line may come twice
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(line, words) for every line of docs, equal ones of a batch once."""
+def _filter_of(lines: DataFrame) -> np.ndarray:
+    """A Bloom filter of lines (line), of 2**FILTER_BITS bits: as many 64-bit words come to the driver at most."""
+    slots = lines.select(F.explode(F.array(*[F.expr(f"(line >> {s}) & {(1 << FILTER_BITS) - 1}L") for s in _PROBES])).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("b")).toArrow()
+    found = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    found[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return found
+
+
+def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """(line, words) for every line of docs that used (line) holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(used))  # 8 MB
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = shared.value, np.int64((1 << FILTER_BITS) - 1)
         for b in batches:
-            found = {x for t in b.column(0).to_pylist() for x in lines_of(t) if x}
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in found], pa.int64()), pa.array(list(found), pa.large_string())], ["line", "words"])
+            found = list({x for t in b.column(0).to_pylist() for x in lines_of(t) if x})
+            names = np.fromiter(map(line_id, found), np.int64, len(found))
+            held = np.ones(len(found), bool)
+            for k in _PROBES:
+                slot = (names >> np.int64(k)) & mask
+                held &= (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([pa.array(names[held]), pa.array([x for x, h in zip(found, held, strict=True) if h], pa.large_string())], ["line", "words"])
 
-    return docs.select("text").mapInArrow(read, "line long, words string")
+    found = docs.select("text").mapInArrow(read, "line long, words string")
+    return found.join(used.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"])
 
 
 def _measured(lines: DataFrame) -> DataFrame:
-    """lines (line, words) with n, the distinct runs, agree, the equal bins that a partner must have, and sig."""
+    """lines (line, words) with n, the distinct runs, agree, the equal bins that a partner's sketch must have, sig and sketch."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,21 +267,23 @@ def _measured(lines: DataFrame) -> DataFrame:
                 part = b.slice(start, ROWS_AT_ONCE)
                 words = part.column("words").to_pylist()
                 n = np.array([len(run_set(x)) for x in words], np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), pa.array(least_agreement(n), pa.int32()), _lists(signatures(words), pa.int64())], ["line", "words", "n", "agree", "sig"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(n, pa.int32()), pa.array(least_agreement(n), pa.int32()), _lists(signatures(words)), _lists(sketches(words))], ["line", "words", "n", "agree", "sig", "sketch"]
+                )
 
-    return lines.select("line", "words").mapInArrow(measure, "line long, words string, n int, agree int, sig array<long>")
+    return lines.select("line", "words").mapInArrow(measure, "line long, words string, n int, agree int, sig array<long>, sketch array<long>")
 
 
 def least_agreement(n: np.ndarray) -> np.ndarray:
     """Equal bins that two lines at the threshold have with three deviations to spare, of lines of n runs: fewer runs fill fewer bins."""
-    share = THRESHOLD / 100
-    return np.ceil(BINS * share - 3 * np.sqrt(share * (1 - share)) * BINS / np.sqrt(np.minimum(BINS, np.maximum(n, 1)))).astype(np.int64)
+    share = THRESHOLD / 100 + (1 - THRESHOLD / 100) / (1 << SKETCH_BITS)
+    return np.ceil(SKETCH_BINS * (share - 3 * np.sqrt(share * (1 - share) / np.minimum(SKETCH_BINS, np.maximum(n, 1))))).astype(np.int64)
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Whether lines x and y (n, agree, sig with these suffixes) have sizes and signatures that a link can have."""
-    unequal = " + ".join(f"bit_count(((sig{x}[{k}] ^ sig{y}[{k}]) + {_FULL}L) & {_GUARDS}L)" for k in range(BANDS))
-    return F.expr(f"100 * least(n{x}, n{y}) >= {THRESHOLD} * greatest(n{x}, n{y}) AND {BINS} - ({unequal}) >= least(agree{x}, agree{y})")
+    """Whether lines x and y (n, agree, sketch with these suffixes) have sizes and sketches that a link can have."""
+    unequal = " + ".join(f"bit_count(((sketch{x}[{k}] ^ sketch{y}[{k}]) + {_FULL}L) & {_GUARDS}L)" for k in range(SKETCH_WORDS))
+    return F.expr(f"100 * least(n{x}, n{y}) >= {THRESHOLD} * greatest(n{x}, n{y}) AND {SKETCH_BINS} - ({unequal}) >= least(agree{x}, agree{y})")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -263,7 +301,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     of = lambda k, *c: lines.select(F.col("line").alias(k), *(F.col(x).alias(y) for x, y in c))
-    facts = lambda k: [(c, c + k) for c in ("n", "agree", "sig")]
+    facts = lambda k: [(c, c + k) for c in ("n", "agree", "sketch")]
     may = pairs.join(of("a", *facts("a")), "a").join(of("b", *facts("b")), "b").where(_may_link("a", "b")).select("a", "b")
     return may.join(of("a", ("words", "wa")), "a").join(of("b", ("words", "wb")), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
@@ -277,36 +315,37 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
 
 def _open_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a list and may link, each once: in its first equal band."""
-    rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig"), "line")
-    side = lambda df, k: df.select("token", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig")))
+    rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig", "sketch"), "line")
+    side = lambda df, k: df.select("token", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig", "sketch")))
     first = "CASE " + " ".join(f"WHEN sigx[{k}] = sigy[{k}] THEN {k}" for k in range(BANDS)) + " END"
     met = side(rows.where("not in_most"), "x").join(side(rows, "y"), "token").where("compx <> compy AND (in_mosty OR linex < liney)")
-    return met.where(_may_link("x", "y") & F.expr(f"(token & {BANDS - 1}L) = {first}")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
+    return met.where(F.expr(f"100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny) AND (token & {BANDS - 1}L) = {first}") & _may_link("x", "y")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
 
 
 def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The components (node, root) of the lines in found."""
     lists = scratch.keep(_lists_of(found.where("sig is not null")), "lists")
-    used = lists.select("line").distinct()
-    lines = scratch.keep(_measured(_texts(docs).join(used.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"])), "texts")
+    lines = scratch.keep(_measured(_texts(docs, lists.select("line").distinct())), "texts")
 
     done = grown(None, scratch.keep(_verified(_star_pairs(lists), lines), "links_star"), scratch, "comp_star")
     rest = scratch.keep(still_open(lists, done, "line"), "open")
     return grown(done, scratch.keep(_verified(_open_pairs(rest, lines), lines), "links_rest"), scratch, "comp_rest")
 
 
-def _judged(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, h, row, text) by lines, with component and kept; a text without lines has one row with no null."""
-    found = scratch.keep(_signed(docs), "lines")
+def _contested(found: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of found whose line comes again or is linked, with component; and of each component the row (doc_id, h, row, no) that stays."""
     done = _linked(found, docs, scratch).select(F.col("node").alias("line"), "root")
-    where = F.struct("doc_id", "h", "row", "no")
-    # First places go from equal lines to components, so that a line's rows are one partial result a task.
-    lines = found.where("line is not null").groupBy("line").agg(F.min(where).alias("at"), F.count("*").alias("c"))
-    known = scratch.keep(lines.join(done, "line", "left").withColumn("component", F.coalesce("root", "line")).select("line", "component", "at", "c"), "known")
-    first = known.groupBy("component").agg(F.min("at").alias("first"), F.sum("c").alias("c")).where("c > 1").select("component", "first")
-    contested = known.join(first, "component").select("line", "component", "first")
-    rows = found.drop("sig").join(contested, "line", "left")
-    return rows.select("doc_id", "h", "row", "no", "line", F.coalesce("component", "line").alias("component"), (F.col("first").isNull() | F.col("first").eqNullSafe(where)).alias("kept"))
+    counts = found.where("line is not null").groupBy("line").agg(F.count("*").alias("c"))
+    lines = counts.join(done, "line", "left").where("c > 1 OR root is not null").select("line", F.coalesce("root", "line").alias("component"))
+    rows = scratch.keep(found.drop("sig").join(lines.hint("shuffle_hash"), "line"), "contested")
+    return rows, rows.groupBy("component").agg(F.min(F.struct("doc_id", "h", "row", "no")).alias("first")).select("component", "first.*")
+
+
+def _lost(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(row, lost): the numbers of the lines that go, by row of the table, ascending."""
+    both = rows.select("row", "no", F.lit(None).cast("int").alias("stays")).union(first.select("row", F.lit(None).cast("int"), "no"))
+    lost = both.groupBy("row").agg(F.collect_list("no").alias("nos"), F.collect_list("stays").alias("stay"))
+    return lost.select("row", F.array_sort(F.array_except("nos", "stay")).alias("lost"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
@@ -315,7 +354,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFram
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a line that is not blank: doc_id, h (hash of the row's text), row (its number), no, line (its id), component, kept."""
-    return _judged(_keyed(docs, id_col, text_col, F.monotonically_increasing_id()), Scratch(docs.sparkSession, "line_dedup")).where("no is not null")
+    scratch, docs = Scratch(docs.sparkSession, "line_dedup"), _keyed(docs, id_col, text_col, F.monotonically_increasing_id())
+    found = scratch.keep(_signed(docs), "lines")
+    rows, first = _contested(found, docs, scratch)
+    judged = rows.select("row", "no", "component").join(first.select("row", "no", F.lit(True).alias("kept")), ["row", "no"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    out = found.where("line is not null").join(judged, ["row", "no"], "left")
+    return out.select("doc_id", "h", "row", "no", "line", F.coalesce("component", "line").alias("component"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,14 +367,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch, row, gone = Scratch(docs.sparkSession, "line_dedup"), helper("row"), helper("gone")
     # Rows are numbered once: two runs of one plan may number them differently.
     numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    lost = _judged(_keyed(numbered, id_col, text_col, F.col(row)), scratch).where("not kept").groupBy(F.col("row").alias(row)).agg(F.collect_set("no").alias(gone))
+    keyed = _keyed(numbered, id_col, text_col, F.col(row))
+    lost = _lost(*_contested(scratch.keep(_signed(keyed), "lines"), keyed, scratch)).select(F.col("row").alias(row), F.col("lost").alias(gone))
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
     return numbered.join(lost, row, "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its lines that are not blank, how many stay, and the numbers of those that go."""
-    judged = _judged(_keyed(table(spark, sf_dir, "documents"), "doc_id", "text", F.monotonically_increasing_id()), Scratch(spark, "line_dedup"))
-    lost = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no"))))
-    out = judged.groupBy("row", "doc_id").agg(F.count("no").alias("n_lines"), F.count_if(F.col("kept") & F.col("no").isNotNull()).alias("n_kept"), lost.alias("dropped"))
-    return out.select("doc_id", "n_lines", "n_kept", "dropped")
+    scratch, docs = Scratch(spark, "line_dedup"), _keyed(table(spark, sf_dir, "documents"), "doc_id", "text", F.monotonically_increasing_id())
+    found = scratch.keep(_signed(docs), "lines")
+    lost = _lost(*_contested(found, docs, scratch))
+    out = found.groupBy("row", "doc_id").agg(F.count("no").alias("n_lines")).join(lost, "row", "left")
+    dropped = F.coalesce("lost", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))

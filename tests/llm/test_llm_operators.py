@@ -338,9 +338,9 @@ def test_bands_and_signatures_find_lines_at_the_threshold():
             continue
         tried += 1
         a, b = line_dedup.signatures([x, y])
-        bins = lambda z: [(int(v) >> 15 * k) & 0x3FFF for v in z for k in range(4)]
         met += bool((a == b).any())
-        equal = sum(u == v for u, v in zip(bins(a), bins(b), strict=True))
+        bins = [[(int(v) >> 4 * k) & 7 for v in z for k in range(15)] for z in line_dedup.sketches([x, y])]
+        equal = sum(u == v for u, v in zip(*bins, strict=True))
         may += bool((a == b).any()) and equal >= line_dedup.least_agreement(np.array([min(len(p), len(q))]))[0]
     print("bands", met / tried, "with signatures", may / tried)
     assert met / tried >= 0.995 and may / tried >= 0.99

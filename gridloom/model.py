@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,9 @@ class ArrayMeta:
     as_na: bool = False
     axis_labels: tuple[str | None, ...] | None = None
     first_val: object = None
+    #: Folders of a stored array's data, and of its labels, below its own.
+    data: tuple[str, ...] = ("data",)
+    labels: str | None = "dimnames"
     format_version: int = FORMAT_VERSION
 
     def __post_init__(self) -> None:
@@ -66,7 +69,7 @@ class ArrayMeta:
     @classmethod
     def from_json(cls, text: str) -> ArrayMeta:
         d = upgraded(json.loads(text))
-        for k in ("dim", "chunkdim", "axis_labels"):
+        for k in ("dim", "chunkdim", "axis_labels", "data"):
             d[k] = None if d.get(k) is None else tuple(d[k])
         return cls(**d)
 
@@ -80,6 +83,8 @@ def upgraded(d: dict) -> dict:
     if version < 2:  # the first format knew neither layouts nor axis labels
         d.setdefault("layout", "csc" if d.get("is_sparse") else "dense")
         d.setdefault("axis_labels", None)
+    d.setdefault("data", ("data",))  # once the only place
+    d.setdefault("labels", "dimnames")
     d["format_version"] = FORMAT_VERSION
     return d
 
@@ -106,6 +111,8 @@ class GridArray:
     meta: ArrayMeta
     cells: DataFrame
     labels: DataFrame | None = None
+    #: Gives the cells whose positions are in the given runs of each axis (None: all), where a source can find those faster.
+    prune: Callable[[Sequence[Sequence[tuple[int, int]] | None]], DataFrame] | None = None
 
     def __repr__(self) -> str:
         size = " x ".join(map(str, self.meta.dim))
@@ -135,6 +142,23 @@ class GridArray:
     def with_cells(self, cells: DataFrame, **changes: object) -> GridArray:
         return GridArray(replace(self.meta, **changes), cells, self.labels)
 
+    def with_labels(self, labels: DataFrame | Sequence[Sequence[str] | None] | None) -> GridArray:
+        """Other labels (axis, pos, label), or a list of labels an axis, or none; nothing is read or written."""
+        if labels is not None and not isinstance(labels, DataFrame):
+            if len(labels) != self.meta.rank or any(v is not None and len(v) != d for v, d in zip(labels, self.dim, strict=True)):
+                raise ValueError(f"labels do not go with extents {self.dim}")
+            rows = [(k, p, v) for k, axis in enumerate(labels, 1) if axis is not None for p, v in enumerate(axis, 1)]
+            labels = self.cells.sparkSession.createDataFrame(rows, "axis int, pos long, label string")
+        return replace(self, labels=labels)
+
+    def as_sparse(self, sparse: bool = True) -> GridArray:
+        """The same cells taken for those of a sparse array, zeros left out, or (of a dense one) not."""
+        if self.is_sparse and not sparse:
+            raise ValueError("a sparse array stays one; densify it")
+        if not sparse or self.is_sparse:
+            return self
+        return GridArray(replace(self.meta, is_sparse=True), self.cells.where(is_nonzero(F.col("val"), self.type)), self.labels)
+
     def cast(self, kind: str, strict: bool = True) -> GridArray:
         """Another type; doubles are cut towards zero. Not strict: what does not fit is missing."""
         if kind == self.type:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.summaries import summary
-from gridloom.model import GridArray, is_nonzero
+from gridloom.model import TYPES, GridArray, is_nonzero, zero_of
 from gridloom.operators.select import densify, select
 from gridloom.plans.selection import Positions
+from gridloom.plans.settings import SETTINGS, Settings
 
 
 def summarize(x: GridArray, op: str, index: Sequence[Positions] | None = None, na_rm: bool = False) -> DataFrame:
@@ -43,27 +44,50 @@ def along(x: GridArray, axis: int, op: str = "sum", na_rm: bool = False) -> Data
     return full.select("pos", F.when(F.col("_held"), F.col("value")).otherwise(F.lit(empty).cast(got.schema["value"].dataType)).alias("value"))
 
 
-def elementwise(x: GridArray, f: Callable[[Column], Column], kind: str = "double", of_zero: float | bool = 0) -> GridArray:
-    """f of every value. If f(0) = of_zero is no zero, a sparse array becomes dense first."""
-    if x.is_sparse and of_zero not in (0, False):
+def _is_zero(spark, value: Column, kind: str) -> bool:
+    """Whether a function's value at zero, a constant, is zero."""
+    return spark.range(1).select(is_nonzero(value.cast(TYPES[kind]), kind)).first()[0] is False
+
+
+def elementwise(x: GridArray, f: Callable[[Column], Column], kind: str = "double") -> GridArray:
+    """f of every value. Where f(0) is not zero, a sparse array becomes dense first."""
+    if x.is_sparse and not _is_zero(x.cells.sparkSession, f(zero_of(x.type)), kind):
         x = densify(x)
     cells = x.cells.withColumn("val", f(F.col("val")))
     return x.with_cells(cells.where(is_nonzero(F.col("val"), kind)) if x.is_sparse else cells, type=kind)
 
 
+def nchar(x: GridArray, what: str = "chars") -> GridArray:
+    """The length of every string in characters or in bytes; that of a missing one is missing."""
+    if x.type != "character" or what not in ("chars", "bytes"):
+        raise TypeError(f"lengths in {what} of {x.type} values")
+    return elementwise(x, F.char_length if what == "chars" else F.octet_length, "integer")
+
+
 def combine(x: GridArray, y: GridArray, f: Callable[[Column, Column], Column], kind: str = "double", inner: bool = False) -> GridArray:
-    """f of two arrays' values, cell by cell. inner: f is zero where either is (a product), so only shared cells are looked at."""
+    """f of two arrays' values, cell by cell.
+
+    inner: f is zero where either value is (a product), so only shared cells are looked at. Else two sparse arrays meet in a full
+    outer join of their stored cells if f(0, 0) is zero, and become dense if it is not.
+    """
     if x.dim != y.dim:
         raise ValueError(f"{x.dim} and {y.dim}")
-    if not inner:
+    sparse = x.is_sparse and y.is_sparse and (inner or _is_zero(x.cells.sparkSession, f(zero_of(x.type), zero_of(y.type)), kind))
+    if not sparse and not inner:
         x, y = densify(x), densify(y)
-    cells = x.cells.withColumnRenamed("val", "_x").join(y.cells.withColumnRenamed("val", "_y"), x.meta.axes)
-    cells = cells.select(*x.meta.axes, f(F.col("_x"), F.col("_y")).alias("val"))
-    return GridArray(replace(x.meta, type=kind, is_sparse=inner and (x.is_sparse or y.is_sparse)), cells, x.labels)
+    a, b = (z.cells.withColumnRenamed("val", v).withColumn(f"{v}_held", F.lit(True)) for z, v in ((x, "_x"), (y, "_y")))
+    cells = a.join(b, x.meta.axes, "full" if sparse and not inner else "inner")
+    held = lambda v, z: F.when(F.col(f"{v}_held"), F.col(v)).otherwise(zero_of(z.type))  # noqa: E731  a missing value stays missing
+    cells = cells.select(*x.meta.axes, f(held("_x", x), held("_y", y)).alias("val"))
+    sparse = sparse or inner and (x.is_sparse or y.is_sparse)
+    return GridArray(replace(x.meta, type=kind, is_sparse=sparse), cells.where(is_nonzero(F.col("val"), kind)) if sparse else cells, x.labels)
 
 
 def matmul(x: GridArray, y: GridArray) -> GridArray:
-    """The matrix product; only pairs of stored values are multiplied, and partial sums are made before the shuffle."""
+    """The matrix product; only pairs of stored values are multiplied, and partial sums are made before the shuffle.
+
+    A zero that is not stored adds nothing, whatever it would meet: a missing value or NaN makes those sums so that it is stored on both sides of.
+    """
     if x.dim[1] != y.dim[0]:
         raise ValueError(f"{x.dim} and {y.dim}")
     a = x.cells.select("i1", F.col("i2").alias("_k"), F.col("val").cast("double").alias("_a"))
@@ -73,17 +97,38 @@ def matmul(x: GridArray, y: GridArray) -> GridArray:
     return GridArray(replace(x.meta, dim=(x.dim[0], y.dim[1]), type="double", chunkdim=None, is_sparse=sparse, layout="csc" if sparse else "dense"), cells)
 
 
-def block_apply(x: GridArray, f, schema: str, block: Sequence[int]) -> DataFrame:
-    """f of each block of the array: f gets a pandas frame of the block's cells, positions from its corner, and its number.
+def block_apply(x: GridArray, f: Callable, schema: str, block: Sequence[int] | None = None, settings: Settings = SETTINGS) -> DataFrame:
+    """f of each block of the array: f gets the block's number and a pandas frame of its cells, positions from its corner.
 
-    A block is a unit of work of one task, so its extents bound the memory: at most their product in cells.
+    A block is handed over as a whole, so its extents bound the memory: at most their product in cells. A task has many blocks, sorted, and
+    goes through them once. Blocks without cells are left out. Without extents the settings give them.
     """
+    import pandas as pd
+
+    block = settings.block(x.dim) if block is None else block
     ids = [F.floor((F.col(a) - 1) / b).cast("long").alias(f"_b{k}") for k, (a, b) in enumerate(zip(x.meta.axes, block, strict=True))]
     keys = [f"_b{k}" for k in range(x.meta.rank)]
     inside = [((F.col(a) - 1) % b + 1).alias(a) for a, b in zip(x.meta.axes, block, strict=True)]
+    names = [*x.meta.axes, "val"]
     cells = x.cells.select(*ids, *inside, "val")
-
-    def run(key, pdf):
-        return f(tuple(int(k) for k in key), pdf.drop(columns=keys))
-
-    return cells.groupBy(*keys).applyInPandas(run, schema)
+    cells = cells.repartition(settings.workers, *keys) if settings.workers else cells.repartition(*keys)
+
+    def run(frames):
+        held = None
+
+        def blocks(pdf: pd.DataFrame, last: bool):
+            at = pdf[keys].to_numpy()
+            cuts = [0, *((at[1:] != at[:-1]).any(axis=1).nonzero()[0] + 1).tolist(), len(at)]
+            body = pdf[names]
+            out = [f(tuple(at[a].tolist()), body.iloc[a:z].reset_index(drop=True)) for a, z in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1], strict=False)]
+            return out, None if last else pdf.iloc[cuts[-2] :]
+
+        for pdf in frames:
+            if len(pdf):
+                out, held = blocks(pdf if held is None else pd.concat([held, pdf], ignore_index=True), False)
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+        if held is not None:
+            yield pd.concat(blocks(held, True)[0], ignore_index=True)
+
+    return cells.sortWithinPartitions(*keys).mapInPandas(run, schema)

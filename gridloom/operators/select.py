@@ -18,7 +18,7 @@ BROADCAST_POSITIONS = 1_000_000
 DENSE_CELLS = 2_000_000_000
 
 
-def _between(column: Column, runs: Sequence[tuple[int, int]]) -> Column:
+def between(column: Column, runs: Sequence[tuple[int, int]]) -> Column:
     return reduce(lambda a, b: a | b, [column == s if n == 1 else column.between(s, s + n - 1) for s, n in runs], F.lit(False))
 
 
@@ -27,7 +27,7 @@ def chunk_filter(chunks: DataFrame, plans: Sequence[AxisPlan]) -> DataFrame:
     for k, plan in enumerate(plans):
         if plan.chunks is not None:
             few = plan.chunks if len(plan.chunks) <= MAX_RUNS else ((plan.chunks[0][0], plan.chunks[-1][0] + plan.chunks[-1][1] - plan.chunks[0][0]),)
-            chunks = chunks.where(_between(F.col(f"c{k + 1}"), few)) if plan.chunks else chunks.where(F.lit(False))
+            chunks = chunks.where(between(F.col(f"c{k + 1}"), few)) if plan.chunks else chunks.where(F.lit(False))
     return chunks
 
 
@@ -42,6 +42,18 @@ def cells_of_chunks(chunks: DataFrame, rank: int) -> DataFrame:
     return flat.select(*cols, "val")
 
 
+def wanted_positions(spark, plan: AxisPlan) -> DataFrame:
+    """(pos, _ord): the positions of a plan and their places in the selection. Runs are written out where the frame is computed."""
+    if plan.order is not None:
+        return spark.createDataFrame([(p, k) for k, p in enumerate(plan.order, 1)], "pos long, _ord long")
+    rows, at = [], 1
+    for s, n in plan.runs:
+        rows.append((s, s + n - 1, at - s))
+        at += n
+    runs = spark.createDataFrame(rows, "a long, z long, by long")
+    return runs.select(F.explode(F.sequence("a", "z")).alias("pos"), "by").select("pos", (F.col("pos") + F.col("by")).alias("_ord"))
+
+
 def select(x: GridArray, index: Sequence[Positions], counts: Sequence[Positions] | None = None, method: int = 0) -> GridArray:
     """The cells at the given positions of each axis (None: all), at their places in the selection.
 
@@ -53,25 +65,26 @@ def select(x: GridArray, index: Sequence[Positions], counts: Sequence[Positions]
         raise SelectionError(f"{len(index)} indices for {x.meta.rank} axes")
     counts = counts or [None] * len(index)
     plans = [plan_axis(d, None, p, c) for d, p, c in zip(x.dim, index, counts, strict=True)]
-    cells = x.cells
+    cells = x.prune([p.runs if p.runs is not None and len(p.runs) <= MAX_RUNS else None for p in plans]) if x.prune else x.cells
     for axis, plan in zip(x.meta.axes, plans, strict=True):
-        if plan.order is None:
+        if plan.runs is None:
             continue
         if len(plan.runs) <= MAX_RUNS:
-            cells = cells.where(_between(F.col(axis), plan.runs))
-        if list(plan.order) == list(range(plan.order[0], plan.order[0] + len(plan.order))) if plan.order else False:
-            cells = cells.withColumn(axis, F.col(axis) - F.lit(plan.order[0] - 1))  # one run in order: a shift
+            cells = cells.where(between(F.col(axis), plan.runs))
+        if plan.order is None and len(plan.runs) == 1:
+            cells = cells.withColumn(axis, F.col(axis) - F.lit(plan.runs[0][0] - 1))  # one run in order: a shift
             continue
-        wanted = x.cells.sparkSession.createDataFrame([(p, k) for k, p in enumerate(plan.order, 1)], f"{axis} long, _ord long")
-        wanted = F.broadcast(wanted) if len(plan.order) <= BROADCAST_POSITIONS else wanted
-        cells = cells.join(wanted, axis).withColumn(axis, F.col("_ord")).drop("_ord")
+        wanted = wanted_positions(x.cells.sparkSession, plan).withColumnRenamed("pos", axis)
+        cells = cells.join(F.broadcast(wanted) if plan.extent <= BROADCAST_POSITIONS else wanted, axis).withColumn(axis, F.col("_ord")).drop("_ord")
     dim = tuple(d if p.extent is None else p.extent for d, p in zip(x.dim, plans, strict=True))
     labels = x.labels
     if labels is not None:
         for k, plan in enumerate(plans):
-            if plan.order is not None:
-                wanted = labels.sparkSession.createDataFrame([(k + 1, p, n) for n, p in enumerate(plan.order, 1)], "axis int, pos long, _ord long")
-                moved = labels.where(F.col("axis") == k + 1).join(wanted, ["axis", "pos"]).select("axis", F.col("_ord").alias("pos"), "label")
+            if plan.runs is not None:
+                of_axis = labels.where(F.col("axis") == k + 1)
+                if len(plan.runs) <= MAX_RUNS:
+                    of_axis = of_axis.where(between(F.col("pos"), plan.runs))
+                moved = of_axis.join(wanted_positions(labels.sparkSession, plan), "pos").select("axis", F.col("_ord").alias("pos"), "label")
                 labels = labels.where(F.col("axis") != k + 1).union(moved)
     chunk = None if x.meta.chunkdim is None else tuple(min(c, max(d, 1)) for c, d in zip(x.meta.chunkdim, dim, strict=True))
     return GridArray(replace(x.meta, dim=dim, chunkdim=chunk, first_val=None), cells.select(*x.meta.axes, "val"), labels)
@@ -123,6 +136,22 @@ def sparsify(x: GridArray) -> GridArray:
     return GridArray(replace(x.meta, is_sparse=True), x.cells.where(is_nonzero(F.col("val"), x.type)), x.labels)
 
 
+def as_array(x: GridArray, limit: int = 50_000_000):
+    """The array as a local numpy array, if it has at most ``limit`` cells; missing values are None (NaN for doubles)."""
+    import numpy as np
+
+    if x.meta.length > limit:
+        raise ValueError(f"{x.meta.length} cells; a local array may have {limit}")
+    kinds = {"double": float, "integer": np.int32, "long": np.int64, "raw": np.uint8}
+    rows = x.cells.toArrow()
+    val = rows["val"]
+    whole = x.type == "double" or x.type in kinds and not val.null_count
+    out = np.zeros(x.dim, kinds[x.type]) if whole else np.full(x.dim, {"logical": False, "character": ""}.get(x.type, 0), object)
+    at = tuple(rows[a].to_numpy() - 1 for a in x.meta.axes)
+    out[at] = val.to_numpy() if whole else np.array(val.to_pylist(), object)
+    return out
+
+
 def positions_of(x: GridArray, axis: int, wanted: Sequence[str]) -> list[int]:
     """Positions of labels of an axis (from 1); an unknown label is an error."""
     if x.labels is None:

@@ -80,16 +80,6 @@ def transpose(x: GridArray) -> GridArray:
     return GridArray(replace(x.meta, dim=turn(x.dim), chunkdim=turn(x.meta.chunkdim), layout=layout, axis_labels=turn(x.meta.axis_labels)), cells, labels)
 
 
-def check_compressed(indptr: Sequence[int], n_data: int, n_indices: int) -> None:
-    """What a compressed sparse layout must satisfy."""
-    if not len(indptr) or indptr[0] != 0:
-        raise ValueError("the first pointer is not 0")
-    if indptr[-1] != n_data or n_data != n_indices:
-        raise ValueError(f"the last pointer is {indptr[-1]}, with {n_data} values and {n_indices} indices")
-    if any(b < a for a, b in zip(indptr, indptr[1:], strict=False)):
-        raise ValueError("pointers descend")
-
-
 def to_local_csc(x: GridArray, limit: int = 50_000_000):
     """The matrix as a local compressed one, if it has at most ``limit`` stored values."""
     from pyspark.ml.linalg import SparseMatrix

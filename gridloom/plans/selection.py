@@ -121,7 +121,10 @@ def map_to_chunks(starts: Sequence[Positions], dim: Sequence[int], chunkdim: Seq
 
 @dataclass(frozen=True)
 class AxisPlan:
-    """What is read of one axis: the positions in the order asked for (None: all), their runs, and the touched chunks as runs."""
+    """What is read of one axis: everything (runs None), or ascending runs, or positions in any order, with the runs they make up.
+
+    Runs stay runs, whatever they hold; only positions that were asked for one by one are listed.
+    """
 
     order: tuple[int, ...] | None
     runs: tuple[tuple[int, int], ...] | None
@@ -129,27 +132,42 @@ class AxisPlan:
 
     @property
     def extent(self) -> int | None:
-        return None if self.order is None else len(self.order)
+        return len(self.order) if self.order is not None else None if self.runs is None else sum(n for _, n in self.runs)
 
 
 #: More runs than this go by a join with the positions; up to it, by BETWEEN, which prunes row groups.
 MAX_RUNS = 64
 
 
+def _chunks_of(runs: Sequence[tuple[int, int]], chunk: int) -> tuple[tuple[int, int], ...]:
+    out: list[tuple[int, int]] = []
+    for s, n in runs:
+        first, last = (s - 1) // chunk, (s + n - 2) // chunk
+        if out and first < out[-1][0] + out[-1][1]:
+            first = out[-1][0] + out[-1][1]
+        if first <= last:
+            out.append((first, last - first + 1))
+    return tuple(_runs([a for a, _ in out], [n for _, n in out]))
+
+
 def plan_axis(extent: int, chunk: int | None, positions: Positions, counts: Positions = None) -> AxisPlan:
-    """Any order and repeats are allowed without counts; with counts the runs must ascend."""
+    """Any order and repeats are allowed without counts; with counts the runs must ascend. A range is one run."""
     if positions is None:
         return AxisPlan(None, None, None)
+    if counts is None and isinstance(positions, range) and positions.step == 1 and len(positions):
+        positions, counts = [positions.start], [len(positions)]
     check_selection([extent], [positions], [counts])
+    order = None
     if counts is not None:
         check_ordered_selection([extent], [positions], [counts])
-        order = tuple(p for s, n in zip(positions, counts, strict=True) for p in range(round(s), round(s) + round(n)))
+        runs = tuple(_runs(positions, counts))
     else:
         order = tuple(round(p) for p in positions)
-    distinct = sorted(set(order))
-    runs = tuple(_runs(distinct, [1] * len(distinct)))
-    touched = sorted({(p - 1) // chunk for p in distinct}) if chunk else None
-    return AxisPlan(order, runs, None if touched is None else tuple(_runs(touched, [1] * len(touched))))
+        distinct = sorted(set(order))
+        runs = tuple(_runs(distinct, [1] * len(distinct)))
+        if sum(n for _, n in runs) == len(order) and list(order) == distinct:
+            order = None
+    return AxisPlan(order, runs, _chunks_of(runs, chunk) if chunk else None)
 
 
 def dense_enough(positions: Sequence[int] | None, threshold: float = 0.2) -> bool:
@@ -162,16 +180,20 @@ def dense_enough(positions: Sequence[int] | None, threshold: float = 0.2) -> boo
 
 
 def axes_to_collapse(dim: Sequence[int], new_dim: Sequence[int]) -> tuple[int, int] | None:
-    """First and last axis (from 0) of the one group of neighbours that new_dim joins; None if the extents are the same."""
-    dim, new_dim = list(dim), list(new_dim)
+    """First and last axis (from 0) of the one group of neighbours that new_dim joins; None if the extents are the same.
+
+    Joined or not, axes end at the same running products of extents; those that new_dim leaves out stand in the joined group.
+    """
+    dim, new_dim = tuple(dim), tuple(new_dim)
     if dim == new_dim:
         return None
-    if math.prod(dim) != math.prod(new_dim):
-        raise SelectionError(f"{tuple(dim)} and {tuple(new_dim)} differ in length")
-    if len(new_dim) >= len(dim):
+    gone = len(dim) - len(new_dim)
+    if gone < 1:
         raise SelectionError("only neighbouring axes can be joined, into one")
-    left = next((k for k, (a, b) in enumerate(zip(dim, new_dim, strict=False)) if a != b), len(new_dim) - 1)
-    last = left + len(dim) - len(new_dim)
-    if math.prod(dim[left : last + 1]) != new_dim[left] or dim[last + 1 :] != new_dim[left + 1 :]:
-        raise SelectionError(f"{tuple(new_dim)} does not join one group of neighbouring axes of {tuple(dim)}")
-    return left, last
+    for first in range(len(new_dim)):
+        group = dim[first : first + gone + 1]
+        if dim[:first] + (math.prod(group),) + dim[first + gone + 1 :] == new_dim:
+            return first, first + gone
+    if math.prod(dim) != math.prod(new_dim):
+        raise SelectionError(f"{dim} and {new_dim} differ in length")
+    raise SelectionError(f"{new_dim} does not join one group of neighbouring axes of {dim}")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.summaries import summary
 from gridloom.model import GridArray
 from gridloom.operators import compute, select, shape, sparse
 from gridloom.plans import selection
@@ -146,9 +146,12 @@ def dense_to_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ij(select.sparsify(x))
 
 
-@query(f"WITH {_S}, g AS (SELECT i, j FROM unnest(range(1, 151)) AS a(i), unnest(range(1, 11)) AS b(j)) SELECT i, j, coalesce(v, 0) AS v FROM g LEFT JOIN S USING (i, j)")
-def densify_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ij(select.densify(select.read_block(S(spark, sf_dir), [0, 0], [150, 10])))
+_GRID = f"{_DIMS}, g AS (SELECT i, j FROM unnest(range(1, (SELECT nr FROM D) + 1)) AS a(i), unnest(range(1, (SELECT nc FROM D) + 1)) AS b(j))"
+
+
+@query(f"WITH {_S}, {_GRID} SELECT i, j, coalesce(v, 0) AS v FROM g LEFT JOIN S USING (i, j)")
+def densify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ij(select.densify(S(spark, sf_dir)))
 
 
 @query(f"WITH {_E} SELECT i, j, trunc(v * 1000)::INTEGER AS v FROM E")
@@ -156,48 +159,40 @@ def cast_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ij(compute.elementwise(E(spark, sf_dir), lambda v: v * 1000).cast("integer"))
 
 
-def _lines(spark: SparkSession, sf_dir: str, val: str, kind: str) -> GridArray:
-    """All order lines' values as one dense vector (positions are not asked for)."""
-    from gridloom.model import ArrayMeta
-
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(1).cast("long").alias("i1"), F.expr(val).alias("val"))
-    return GridArray(ArrayMeta((1,), kind), df)
-
-
 _NA = "nullif(l_quantity, 25D)"
 _NAN = "case when l_linenumber = 7 then double('NaN') else l_quantity end"
 _LGL = "case when l_linenumber = 7 then null else l_quantity > 25 end"
-_CASES = [("na", _NA, "double"), ("nan", _NAN, "double"), ("empty", "l_quantity", "double")]
+#: Factors near one, so that a product of all lines is a number of its own.
+_FACTOR = "(1 + ({}) / 1e7D)"
 
 
 def _summaries(op: str) -> Query:
-    """Every case of one summary: missing values and NaN, kept and removed, and nothing at all."""
+    """Every case of one summary in one pass: missing values and NaN, kept and removed, and nothing at all."""
+    cases = [("lgl", _LGL, "logical")] if op in ("any", "all") else [(n, _FACTOR.format(v) if op == "prod" else v, "double") for n, v in (("na", _NA), ("nan", _NAN))]
+    parts = ("lo", "hi") if op == "range" else ("value",)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = []
-        cases = [("lgl", _LGL, "logical")] if op in ("any", "all") else _CASES
-        for name, val, kind in cases:
-            x = _lines(spark, sf_dir, val, kind)
-            if name == "empty":
-                x = replace(x, cells=x.cells.where("val < 0"))
-            if op == "prod":
-                x = replace(x, cells=x.cells.where("val is null or isnan(val) or val <= 1"))
-            for na_rm in (False, True):
-                rows.append(compute.summarize(x, op, na_rm=na_rm).select(F.lit(name).alias("input"), F.lit(na_rm).alias("na_rm"), F.col("value")))
-        out = store.union_all(rows)
-        if op == "range":
-            out = out.select("input", "na_rm", "value.lo", "value.hi")
-        if op not in ("any", "all"):  # NaN as text, so that it compares with itself
-            for c in [c for c in out.columns if c not in ("input", "na_rm")]:
-                out = out.withColumn(f"{c}_is_nan", F.coalesce(F.isnan(c), F.lit(False))).withColumn(c, F.when(~F.col(f"{c}_is_nan") & (F.abs(c) < 1e300), F.col(c)))
-        return out
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+        def rows(df: DataFrame, of: list[tuple[str, str, str]]) -> DataFrame:
+            found = [F.struct(F.lit(name).alias("input"), F.lit(na_rm).alias("na_rm"), summary(op, F.expr(val), kind, na_rm).alias("value")) for name, val, kind in of for na_rm in (False, True)]
+            return df.agg(F.array(*found).alias("rows")).select(F.inline("rows"))
+
+        out = rows(lines, cases)
+        if op in ("any", "all"):
+            return out
+        out = out.union(rows(lines.where("l_quantity < 0"), [("empty", "l_quantity", "double")]))
+        value = {c: F.col(f"value.{c}") if op == "range" else F.col("value") for c in parts}
+        plain = {c: F.when(~F.isnan(v) & (F.abs(v) < 1e300), F.round(v, 6) if op == "prod" else v) for c, v in value.items()}
+        # NaN and infinities as text, so that they compare with themselves.
+        kinds = {c: F.when(v.isNull(), "missing").when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise("number") for c, v in value.items()}
+        return out.select("input", "na_rm", *(plain[c].alias(c) for c in parts), *(kinds[c].alias(f"{c}_kind") for c in parts))
 
     run.__name__ = f"agg_{op}"
     return run
 
 
 def _summary_sql(op: str) -> str:
-    na, nan = "nullif(l_quantity, 25)", "l_quantity"
     if op in ("any", "all"):
         f = "bool_or" if op == "any" else "bool_and"
         wins = "true" if op == "any" else "false"
@@ -206,25 +201,22 @@ def _summary_sql(op: str) -> str:
             f"s AS (SELECT {f}(v) AS b, count(*) - count(v) AS missing FROM x) "
             f"SELECT 'lgl' AS input, false AS na_rm, CASE WHEN b = {wins} THEN b WHEN missing > 0 THEN NULL ELSE b END AS value FROM s UNION ALL SELECT 'lgl', true, b FROM s"
         )
-    few = "<= 1" if op == "prod" else "= l_quantity"
-    one = {"min": "min({})", "max": "max({})", "sum": "coalesce(sum({}), 0)", "prod": "coalesce(product({}), 1)"}
-    if op == "range":
-        cols = lambda v: f"min({v})::DOUBLE AS lo, max({v})::DOUBLE AS hi"
-        flags = lambda b: f", {b} AS lo_is_nan, {b} AS hi_is_nan"
-        none = "NULL::DOUBLE AS lo, NULL::DOUBLE AS hi"
-    else:
-        cols = lambda v: f"{one[op].format(v)}::DOUBLE AS value"
-        flags = lambda b: f", {b} AS value_is_nan"
-        none = "NULL::DOUBLE AS value"
-    rest = f"FROM lineitem WHERE l_quantity {few}"
-    parts = [
-        f"SELECT 'na' AS input, false AS na_rm, {none}{flags('false')}",
-        f"SELECT 'na', true, {cols(na)}{flags('false')} {rest}",
-        f"SELECT 'nan', false, {none}{flags('true')}",
-        f"SELECT 'nan', true, {cols(nan)}{flags('false')} {rest} AND l_linenumber <> 7",
-        *(f"SELECT 'empty', {b}, {cols('l_quantity')}{flags('false')} FROM lineitem WHERE l_quantity < 0" for b in ("false", "true")),
-    ]
-    return " UNION ALL ".join(parts)
+    parts = ("lo", "hi") if op == "range" else ("value",)
+    of = {"lo": "min({})", "hi": "max({})", "value": {"min": "min({})", "max": "max({})", "sum": "sum({})", "prod": "round(product(1 + {} / 1e7), 6)"}.get(op)}
+    # What nothing at all gives: an infinity, or the operation's neutral number.
+    nothing = {"min": ("NULL", "inf"), "max": ("NULL", "-inf"), "sum": ("0", "number"), "prod": ("1", "number")}
+    empty = [nothing[{"lo": "min", "hi": "max", "value": op}[c]] for c in parts]
+    row = lambda name, na_rm, vals, kinds, rest="": f"SELECT '{name}' AS input, {na_rm} AS na_rm, " + ", ".join([*(f"{v}::DOUBLE AS {c}" for c, v in zip(parts, vals, strict=True)), *(f"'{k}' AS {c}_kind" for c, k in zip(parts, kinds, strict=True))]) + rest
+    n = len(parts)
+    none, number = ["NULL"] * n, ["number"] * n
+    found = lambda v: [of[c].format(v) for c in parts]
+    return " UNION ALL ".join([
+        row("na", "false", none, ["missing"] * n),
+        row("na", "true", found("nullif(l_quantity, 25)"), number, " FROM lineitem"),
+        row("nan", "false", none, ["nan"] * n),
+        row("nan", "true", found("l_quantity"), number, " FROM lineitem WHERE l_linenumber <> 7"),
+        *(row("empty", b, [e[0] for e in empty], [e[1] for e in empty]) for b in ("false", "true")),
+    ])
 
 
 for _op in ("min", "max", "range", "sum", "prod", "any", "all"):
@@ -259,15 +251,15 @@ def slice_3d_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ij(select.drop_axes(select.select(T(spark, sf_dir), [range(2, 11), [3], range(5, 13)])))
 
 
-@query(f"WITH {_E} SELECT i, j, v FROM E WHERE i <= 20 UNION ALL SELECT i, j + 64, 2 * v FROM E WHERE i <= 20")
+@query(f"WITH {_E} SELECT i, j, v FROM E UNION ALL SELECT i, j + 64, 2 * v FROM E")
 def bind_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = select.read_block(E(spark, sf_dir), [0, 0], [20, 64])
+    x = E(spark, sf_dir)
     return _ij(shape.bind([x, compute.elementwise(x, lambda v: v * 2)], 2))
 
 
 @query(f"WITH {_S} SELECT j, count(*) AS n FROM S WHERE v <> 0 GROUP BY 1")
 def elementwise_ne0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = compute.elementwise(S(spark, sf_dir), lambda v: v != 0, "logical", False)
+    x = compute.elementwise(S(spark, sf_dir), lambda v: v != 0, "logical")
     return _pos(compute.along(x, 2, "nnz"), "j", "n")
 
 
@@ -281,20 +273,33 @@ def elementwise_pow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ij(compute.elementwise(S(spark, sf_dir), lambda v: v * v))
 
 
-@query(f"WITH {_S}, g AS (SELECT i, j FROM unnest(range(1, 101)) AS a(i), unnest(range(1, 11)) AS b(j)) SELECT i, j, 2 * coalesce(v, 0) + 3 AS v FROM g LEFT JOIN S USING (i, j)")
+@query(f"WITH {_S}, {_GRID} SELECT i, j, 2 * coalesce(v, 0) + 3 AS v FROM g LEFT JOIN S USING (i, j)")
 def affine_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ij(compute.elementwise(select.read_block(S(spark, sf_dir), [0, 0], [100, 10]), lambda v: 2 * v + 3, of_zero=3))
+    return _ij(compute.elementwise(S(spark, sf_dir), lambda v: 2 * v + 3))  # f(0) is 3, so all cells are there
+
+
+_N = "N AS (SELECT l_partkey + 1 AS i, l_suppkey + 1 AS j, sum(l_linenumber)::DOUBLE AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2)"
 
 
-@query(f"WITH {_S} SELECT a.i, a.j, a.v * b.v AS v FROM S a JOIN S b ON a.i = b.j AND a.j = b.i WHERE a.i <= 10 AND a.j <= 10")
+def _numbers(spark: SparkSession, sf_dir: str) -> GridArray:
+    """Another matrix of the same extents, with fewer stored cells."""
+    x = S(spark, sf_dir, "case when l_linenumber > 2 then cast(l_linenumber as double) end")
+    return x.with_cells(x.cells.where("val is not null"))
+
+
+@query(f"WITH {_S}, {_N} SELECT i, j, v * n AS v FROM S JOIN N USING (i, j)")
 def array_times_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = select.read_block(S(spark, sf_dir), [0, 0], [10, 10])
-    return _ij(compute.combine(x, sparse.transpose(x), lambda a, b: a * b, inner=True))
+    return _ij(compute.combine(S(spark, sf_dir), _numbers(spark, sf_dir), lambda a, b: a * b, inner=True))
+
+
+@query(f"WITH {_S}, {_N} SELECT i, j, v - 10 * coalesce(n, 0) AS v FROM S LEFT JOIN N USING (i, j) WHERE v <> 10 * coalesce(n, 0)")
+def array_minus_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ij(compute.combine(S(spark, sf_dir), _numbers(spark, sf_dir), lambda a, b: a - 10 * b))
 
 
-@query(f"WITH {_S} SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM S a JOIN S b ON a.i = b.i WHERE a.j <= 10 AND b.j <= 10 GROUP BY 1, 2")
+@query(f"WITH {_S} SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM S a JOIN S b ON a.i = b.i GROUP BY 1, 2")
 def matmul_crossprod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = select.select(S(spark, sf_dir), [None, range(1, 11)])
+    x = S(spark, sf_dir)
     return _ij(compute.matmul(sparse.transpose(x), x))
 
 
@@ -376,8 +381,12 @@ def reduce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from gridloom import store_queries  # noqa: F401  registers its own
+
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridloom import store_queries  # noqa: F401
+
     return {k: s for k, (_, s) in _found.items() if s}

@@ -1,13 +1,16 @@
 """Experiments of several arrays with row and column data, in one folder that can be moved.
 
-    <dir>/<prefix>experiment.json      the shell: names of assays with relative links, and operations not yet carried out
-    <dir>/<prefix>assay001/ ...        one array an assay, without labels
-    <dir>/<prefix>rowdata/, coldata/   Parquet
+    <dir>/<prefix>experiment.json            the shell: assays with relative links, and operations not yet carried out
+    <dir>/<prefix>assay001-<id>/ ...         one array an assay, without labels
+    <dir>/<prefix>rowdata-<id>/, coldata-..  Parquet
+
+A version is there once the shell names it; what only the shell before named is deleted after that.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -43,58 +46,83 @@ class Experiment:
         return replace(self, assays=assays, rowdata=pick(self.rowdata, rows), coldata=pick(self.coldata, cols), index=(chain(self.index[0], rows), chain(self.index[1], cols)))
 
 
-def _shell(links: dict[str, str], x: Experiment, index: tuple) -> str:
-    return json.dumps({"format_version": 1, "assays": links, "rowdata": x.rowdata is not None, "coldata": x.coldata is not None, "index": index})
+def check_folder(spark: SparkSession, folder: str, prefix: str = "", replace_old: bool = False) -> None:
+    """Whether an experiment may be written: without a prefix the folder must be new, with one the shell must be, or be replaced."""
+    files = Files(spark)
+    if not replace_old and (files.exists(f"{folder}/{prefix}experiment.json") or not prefix and files.exists(folder)):
+        raise FileExistsError(f"{folder}/{prefix}experiment.json")
+
+
+def short_link(path: str, folder: str) -> str:
+    """An array's path as seen from its experiment's folder."""
+    return path.removeprefix(f"{folder}/")
+
+
+def full_link(link: str, folder: str) -> str:
+    return link if link.startswith("/") or ":" in link else f"{folder}/{link}"
+
+
+def write_assays(x: Experiment, folder: str, prefix: str = "", chunkdim: Sequence[int | None] | int | None = None, level: int = 6, as_sparse: bool | None = None) -> dict[str, str]:
+    """Write each assay as an array without labels; returns the short links."""
+    links = {}
+    for k, (name, a) in enumerate(x.assays.items(), 1):
+        path = f"{folder}/{prefix}assay{k:03d}-{uuid.uuid4().hex}"
+        write_array(a, path, chunkdim, level, as_sparse, with_labels=False)
+        links[name] = short_link(path, folder)
+    return links
 
 
-def _write_data(x: Experiment, at: str) -> None:
+def _write_data(x: Experiment, folder: str, prefix: str) -> dict[str, str | None]:
+    links: dict[str, str | None] = {}
     for name, df in (("rowdata", x.rowdata), ("coldata", x.coldata)):
+        links[name] = None if df is None else f"{prefix}{name}-{uuid.uuid4().hex}"
         if df is not None:
-            df.write.mode("overwrite").parquet(f"{at}{name}")
+            df.write.parquet(f"{folder}/{links[name]}")
+    return links
+
+
+def _published(spark: SparkSession, folder: str, prefix: str, assays: dict[str, str], data: dict[str, str | None], index: tuple) -> Experiment:
+    """Write the shell, delete what only the one before named, and load."""
+    files, at = Files(spark), f"{folder}/{prefix}experiment.json"
+    old = json.loads(files.read(at)) if files.exists(at) else {"assays": {}}
+    files.write(at, json.dumps({"format_version": 2, "assays": assays, **data, "index": index}))
+    for link in (*old["assays"].values(), old.get("rowdata"), old.get("coldata")):
+        if isinstance(link, str) and link not in (*assays.values(), *data.values()):
+            files.delete(full_link(link, folder))
+    return load(spark, folder, prefix)
 
 
 def save(x: Experiment, folder: str, prefix: str = "", replace_old: bool = False, chunkdim: Sequence[int | None] | int | None = None, level: int = 6, as_sparse: bool | None = None) -> Experiment:
-    """Write everything. Without a prefix an existing folder is an error, or is replaced as a whole; with one only its own files are."""
+    """Write everything. An experiment that is there already is an error, or is replaced when the new one is whole."""
     spark = next(iter(x.assays.values())).cells.sparkSession
-    files, at = Files(spark), f"{folder}/{prefix}"
     if len({a.dim for a in x.assays.values()}) > 1:
         raise ValueError("assays of different extents")
-    if not prefix and files.exists(folder):
-        if not replace_old:
-            raise FileExistsError(folder)
-        if x.home and x.home[0] == folder:
-            raise ValueError("an experiment cannot replace the folder that it reads")
-        files.delete(folder)
-    elif files.exists(f"{at}experiment.json"):
-        if not replace_old:
-            raise FileExistsError(f"{at}experiment.json")
-        files.delete(f"{at}experiment.json")
-    files.make(folder)
-    links = {}
-    for k, (name, a) in enumerate(x.assays.items(), 1):
-        links[name] = f"{prefix}assay{k:03d}"
-        write_array(a, f"{folder}/{links[name]}", chunkdim, level, as_sparse, with_labels=False, replace_old=True)
-    _write_data(x, at)
-    files.write(f"{at}experiment.json", _shell(links, x, (None, None)))  # last: it says that all is there
-    return load(spark, folder, prefix)
+    check_folder(spark, folder, prefix, replace_old)
+    if x.home and x.home[0] == folder and not prefix:
+        raise ValueError("an experiment cannot replace the folder that it reads")
+    Files(spark).make(folder)
+    return _published(spark, folder, prefix, write_assays(x, folder, prefix, chunkdim, level, as_sparse), _write_data(x, folder, prefix), (None, None))
 
 
-def load(spark: SparkSession, folder: str, prefix: str = "") -> Experiment:
+def load(spark: SparkSession, folder: str, prefix: str = "", check_data: bool = False) -> Experiment:
+    """The experiment in a folder; extents are compared by the manifests, with check_data also by a scan of all data."""
     files, at = Files(spark), f"{folder}/{prefix}"
     try:
         shell = json.loads(files.read(f"{at}experiment.json"))
         assays = {}
         for name, link in shell["assays"].items():
-            path = link if link.startswith("/") or ":" in link else f"{folder}/{link}"
-            if problem := same_geometry(stored(spark, path), name):
+            path = full_link(link, folder)
+            x = stored(spark, path)
+            if problem := same_geometry(x, name) if check_data else None:
                 raise ValueError(problem)
+            if assays and x.meta.dim != next(iter(assays.values())).dim:
+                raise ValueError(f"{name} has other extents")
             assays[name] = open_array(spark, path)
+        data = [spark.read.parquet(f"{folder}/{shell[k]}") if shell[k] else None for k in ("rowdata", "coldata")]
     except Exception as e:
         raise ValueError(f"{folder}: no experiment with prefix {prefix!r} was saved here, or it is damaged ({e})") from e
-    data = [spark.read.parquet(f"{at}{k}") if shell[k] else None for k in ("rowdata", "coldata")]
     index = [None if k is None else tuple(k) for k in shell["index"]]
-    x = Experiment({k: select(a, index) if any(i is not None for i in index) else a for k, a in assays.items()}, *data, (folder, prefix), tuple(index))
-    return x
+    return Experiment({k: select(a, index) if any(i is not None for i in index) else a for k, a in assays.items()}, *data, (folder, prefix), tuple(index))
 
 
 def quick_resave(x: Experiment) -> Experiment:
@@ -103,14 +131,7 @@ def quick_resave(x: Experiment) -> Experiment:
         raise ValueError("the experiment was not loaded from a folder")
     folder, prefix = x.home
     spark = next(iter(x.assays.values())).cells.sparkSession
-    files, at = Files(spark), f"{folder}/{prefix}"
-    links = json.loads(files.read(f"{at}experiment.json"))["assays"]
+    links = json.loads(Files(spark).read(f"{folder}/{prefix}experiment.json"))["assays"]
     if set(x.assays) - set(links):
         raise ValueError("an assay has no array in the folder")
-    for name, df in (("rowdata", x.rowdata), ("coldata", x.coldata)):
-        if df is not None:  # written aside, as it may read what it replaces
-            df.write.mode("overwrite").parquet(f"{at}{name}.new")
-            files.delete(f"{at}{name}")
-            files.rename(f"{at}{name}.new", f"{at}{name}")
-    files.write(f"{at}experiment.json", _shell({k: links[k] for k in x.assays}, x, x.index))
-    return load(spark, folder, prefix)
+    return _published(spark, folder, prefix, {k: links[k] for k in x.assays}, _write_data(x, folder, prefix), x.index)

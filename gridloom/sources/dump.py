@@ -9,7 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.model import GridArray
-from gridloom.sources.store import CHUNK_LENGTH, CODECS, chunk_shape, list_arrays, write_array
+from gridloom.plans.geometry import CHUNK_LENGTH, chunk_shape
+from gridloom.sources.store import CODECS, list_arrays, normal_name, write_array
 
 LOG = "time timestamp, name string, path string, dim array<bigint>, type string, chunkdim array<bigint>, level int"
 
@@ -22,6 +23,8 @@ class Dump:
     chunk_length: int = CHUNK_LENGTH
     chunk_shape: str = "scale"
     level: int = 6
+    #: One folder for all arrays, in place of one for each session's automatic names.
+    fixed: str | None = None
     _name: str | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
@@ -32,8 +35,24 @@ class Dump:
             raise ValueError(f"compression level {level}: 0 to 9")
         self.level = level
 
+    def set_folder(self, folder: str) -> None:
+        """Automatic places below another folder; a fixed one is given up."""
+        self.folder, self.fixed = folder.rstrip("/"), None
+
+    def set_file(self, path: str) -> None:
+        """A fixed place for all arrays that follow; with a slash at its end it is a folder of automatic places."""
+        if path.endswith("/"):
+            self.set_folder(path)
+        else:
+            self.fixed = path
+
+    @property
+    def place(self) -> str:
+        """Where the next array goes."""
+        return self.fixed or self.folder
+
     def set_name(self, name: str | None) -> None:
-        self._name = name
+        self._name = None if name is None else normal_name(name).lstrip("/")
 
     def name(self, for_use: bool = False) -> str:
         """The next name; asking does not use it up."""
@@ -49,8 +68,8 @@ class Dump:
 
     def write(self, x: GridArray, as_sparse: bool | None = None) -> GridArray:
         spark, name = x.cells.sparkSession, self.name(for_use=True)
-        out = write_array(x, f"{self.folder}/{name}", None if x.is_sparse else self.chunkdim(x.dim), self.level, as_sparse)
-        row = [(datetime.now(UTC).replace(tzinfo=None), name, f"{self.folder}/{name}", list(out.dim), out.type, None if out.chunkdim is None else list(out.chunkdim), self.level)]
+        out = write_array(x, f"{self.place}/{name}", None if x.is_sparse else self.chunkdim(x.dim), self.level, as_sparse)
+        row = [(datetime.now(UTC).replace(tzinfo=None), name, f"{self.place}/{name}", list(out.dim), out.type, None if out.chunkdim is None else list(out.chunkdim), self.level)]
         spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/_log")
         return out
 
@@ -62,4 +81,4 @@ class Dump:
         return spark.read.schema(LOG).parquet(f"{self.folder}/_log")
 
     def arrays(self, spark: SparkSession) -> DataFrame:
-        return list_arrays(spark, self.folder).where("kind = 'array'")
+        return list_arrays(spark, self.place).where("kind = 'array'")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.store import Files, stored, union_all
+from gridloom.sources.store import Files, publish, stored, union_all
 
 _SCHEMA = "axis int, pos long, label string"
 
@@ -34,7 +36,9 @@ def write_labels(spark: SparkSession, path: str, labels: Sequence[Sequence[str]
         raise ValueError(f"{path} has labels")
     if axis_names is not None:
         set_axis_names(spark, path, axis_names)
-    labels_frame(spark, labels).write.mode("overwrite").parquet(f"{path}/dimnames")
+    name = f"dimnames-{uuid.uuid4().hex}"
+    labels_frame(spark, labels).write.parquet(f"{path}/{name}")
+    publish(Files(spark), path, replace(stored(spark, path).meta, labels=name))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame | None:
@@ -65,6 +69,11 @@ def scales(spark: SparkSession, path: str, scale: str = "") -> dict[int, str]:
     return _all_scales(spark, path).get(scale, {})
 
 
+def is_scale(spark: SparkSession, name: str, arrays: Sequence[str]) -> bool:
+    """Whether a label set is attached to an axis of one of the arrays."""
+    return any(name in held.values() for path in arrays for held in _all_scales(spark, path).values())
+
+
 def attach_scales(spark: SparkSession, path: str, sets: Sequence[str | None], scale: str = "", dry_run: bool = False) -> list[bool]:
     """Attach label sets to axes (None leaves an axis as it is); says which axes change. Everything is checked first; no change, no write."""
     x, files = stored(spark, path), Files(spark)
@@ -95,8 +104,6 @@ def axis_names(spark: SparkSession, path: str) -> tuple[str | None, ...] | None:
 
 
 def set_axis_names(spark: SparkSession, path: str, names: Sequence[str | None]) -> None:
-    from dataclasses import replace
-
     x = stored(spark, path)
     if len(names) != x.meta.rank:
         raise ValueError(f"{len(names)} names for {x.meta.rank} axes")

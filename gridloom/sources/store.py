@@ -1,8 +1,10 @@
 """Arrays in folders: chunked tables with a manifest that is written last.
 
-    <array>/data/         Parquet; dense: chunks (c1.., off, ext, vals) sorted by chunk id; sparse: cells sorted by the compressed axis
-    <array>/dimnames/     Parquet; axis, pos, label
-    <array>/_array.json   the metadata; an array without it is not there
+    <array>/data-<id>/    Parquet; dense: chunks (c1.., off, ext, vals) sorted by chunk id; sparse: cells sorted by the compressed axis
+    <array>/dimnames-<id>/ Parquet; axis, pos, label
+    <array>/_array.json   the metadata with the names of these folders; an array without it is not there
+
+A new version is written beside the old one; it holds once the manifest names it, and the old one is deleted after that.
 
 All files go through Hadoop's file systems, so local, HDFS and object store paths are alike.
 """
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from gridloom.model import TYPES, ArrayMeta, GridArray, is_nonzero
 from gridloom.operators.select import cells_of_chunks, chunk_filter, densify, select
+from gridloom.plans.geometry import CHUNK_LENGTH, chunk_shape
 from gridloom.plans.selection import Positions, plan_axis
 
-CHUNK_LENGTH = 1_000_000
+#: Cells of a chunk that is a whole array: a chunk is one row, made by one task.
+ONE_CHUNK = 20_000_000
 CODECS = {0: "uncompressed", **{k: "snappy" for k in (1, 2, 3)}, **{k: "zstd" for k in (4, 5, 6, 7, 8, 9)}}
 
 
@@ -90,23 +94,6 @@ def normal_name(name: str) -> str:
     return "/" + name.lstrip("/")
 
 
-def chunk_shape(dim: Sequence[int], length: int = CHUNK_LENGTH, shape: str = "scale") -> tuple[int, ...]:
-    """Chunk extents of at most ``length`` cells: all of the array, or (scale) each axis shrunk by one factor, or (first) first axes whole."""
-    total = math.prod(dim)
-    if total <= length or total == 0:
-        return tuple(max(1, d) for d in dim)
-    if shape == "scale":
-        f = (length / total) ** (1 / len(dim))
-        return tuple(max(1, int(d * f)) for d in dim)
-    if shape != "first":
-        raise ValueError(f"shape {shape!r}")
-    out, left = [], length
-    for d in dim:
-        out.append(max(1, min(d, left)))
-        left //= max(1, out[-1])
-    return tuple(out)
-
-
 def to_chunks(x: GridArray, chunkdim: Sequence[int]) -> DataFrame:
     """Chunks of a dense array. The chunk is the unit of the shuffle; each holds at most its extents' cells."""
     n = x.meta.rank
@@ -126,26 +113,28 @@ def to_chunks(x: GridArray, chunkdim: Sequence[int]) -> DataFrame:
 def write_array(
     x: GridArray, path: str, chunkdim: Sequence[int | None] | int | None = None, level: int = 6, as_sparse: bool | None = None, with_labels: bool = True, replace_old: bool = False
 ) -> GridArray:
-    """Write the array and open it where it now is. chunkdim 0: one chunk; None in it: the whole extent."""
+    """Write the array and open it where it now is. None in chunkdim: the whole extent; chunkdim 0: one chunk, for arrays of ONE_CHUNK cells at most."""
     spark, files = x.cells.sparkSession, Files(x.cells.sparkSession)
     if level not in CODECS:
         raise ValueError(f"compression level {level}: 0 to 9")
     if files.exists(f"{path}/_array.json") and not replace_old:
         raise FileExistsError(path)
     sparse = x.is_sparse if as_sparse is None else as_sparse
-    writer = lambda df: df.write.mode("overwrite").option("compression", CODECS[level])
-    if files.exists(f"{path}/_array.json"):
-        files.delete(f"{path}/_array.json")
+    writer = lambda df: df.write.option("compression", CODECS[level])
+    version = uuid.uuid4().hex
+    data, names = f"data-{version}", f"dimnames-{version}"
     if sparse:
         axis = "i1" if x.meta.layout == "csr" else f"i{x.meta.rank}"
         rest = [a for a in x.meta.axes if a != axis]
         cells = x.cells.where(is_nonzero(F.col("val"), x.type)).select(*x.meta.axes, "val")
-        writer(cells.repartitionByRange(axis, *rest).sortWithinPartitions(axis, *rest)).parquet(f"{path}/data")
+        writer(cells.repartitionByRange(axis, *rest).sortWithinPartitions(axis, *rest)).parquet(f"{path}/{data}")
         layout = x.meta.layout if x.meta.layout in ("csc", "csr") else "csc" if x.meta.rank == 2 else "dense"
         meta = replace(x.meta, is_sparse=True, layout=layout, chunkdim=None)
     else:
         x = densify(x)
         if chunkdim == 0:
+            if x.meta.length > ONE_CHUNK:
+                raise ValueError(f"{x.meta.length} cells; one chunk may have {ONE_CHUNK}")
             shape = tuple(max(1, d) for d in x.dim)
         elif chunkdim is None:
             shape = x.meta.chunkdim or chunk_shape(x.dim)
@@ -155,16 +144,23 @@ def write_array(
                 raise ValueError(f"chunks {shape} of extents {x.dim}")
         keys = [f"c{k + 1}" for k in range(x.meta.rank)]
         chunks = to_chunks(x, shape)
-        writer(chunks.repartitionByRange(*reversed(keys)).sortWithinPartitions(*reversed(keys))).parquet(f"{path}/data")
+        writer(chunks.repartitionByRange(*reversed(keys)).sortWithinPartitions(*reversed(keys))).parquet(f"{path}/{data}")
         meta = replace(x.meta, is_sparse=False, layout="dense", chunkdim=shape)
-    if with_labels and x.labels is not None:
-        writer(x.labels.select("axis", "pos", "label")).parquet(f"{path}/dimnames")
-    elif files.exists(f"{path}/dimnames"):
-        files.delete(f"{path}/dimnames")
-    files.write(f"{path}/_array.json", meta.to_json())
+    with_labels = with_labels and x.labels is not None
+    if with_labels:
+        writer(x.labels.select("axis", "pos", "label")).parquet(f"{path}/{names}")
+    publish(files, path, replace(meta, data=(data,), labels=names if with_labels else None))
     return open_array(spark, path)
 
 
+def publish(files: Files, path: str, meta: ArrayMeta) -> None:
+    """Write the manifest, and delete what only an older one named."""
+    files.write(f"{path}/_array.json", meta.to_json())
+    for name in files.names(path):
+        if name not in (*meta.data, meta.labels) and name.startswith(("data", "dimnames")):
+            files.delete(f"{path}/{name}")
+
+
 @dataclass(frozen=True)
 class StoredArray:
     """An array in a folder: its metadata, and its data as a frame that no one has read."""
@@ -180,13 +176,13 @@ class StoredArray:
             schema = ", ".join(f"i{k + 1} long" for k in range(n)) + f", val {kind}"
         else:
             schema = ", ".join(f"c{k + 1} int" for k in range(n)) + f", off array<bigint>, ext array<int>, vals array<{kind}>"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/data")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{d}" for d in self.meta.data])
 
     @property
     def labels(self) -> DataFrame | None:
-        if not Files(self.spark).exists(f"{self.path}/dimnames"):
+        if self.meta.labels is None or not Files(self.spark).exists(f"{self.path}/{self.meta.labels}"):
             return None
-        return self.spark.read.schema("axis int, pos long, label string").parquet(f"{self.path}/dimnames")
+        return self.spark.read.schema("axis int, pos long, label string").parquet(f"{self.path}/{self.meta.labels}")
 
     def array(self) -> GridArray:
         cells = self.data if self.meta.is_sparse else cells_of_chunks(self.data, self.meta.rank)
@@ -215,8 +211,8 @@ def stored(spark: SparkSession, path: str) -> StoredArray:
 def open_array(spark: SparkSession, path: str, as_sparse: bool | None = None, kind: str | None = None) -> GridArray:
     """The array at path; as_sparse takes a dense one by its nonzero cells, kind casts after reading."""
     x = stored(spark, path).array()
-    if as_sparse and not x.is_sparse:
-        x = GridArray(replace(x.meta, is_sparse=True), x.cells.where(is_nonzero(F.col("val"), x.type)), x.labels)
+    if as_sparse:
+        x = x.as_sparse()
     return x if kind is None else x.cast(kind)
 
 
@@ -226,19 +222,22 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(row, "path string, type string, spark_type string, dim array<bigint>, chunkdim array<bigint>, layout string, is_sparse boolean, as_na boolean, format_version int")
 
 
-def list_arrays(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(name, kind): groups and arrays below a folder."""
+def list_arrays(spark: SparkSession, root: str, recursive: bool = True, details: bool = False) -> DataFrame:
+    """(name, kind): groups and arrays below a folder; with details also type, dim, chunkdim and is_sparse of arrays."""
     files, rows, todo = Files(spark), [], [""]
     while todo:
         at = todo.pop()
         for name in files.names(f"{root}{at}"):
             full = f"{at}/{name}"
-            if files.exists(f"{root}{full}/_array.json"):
-                rows.append((full, "array"))
-            elif files.is_dir(f"{root}{full}"):
-                rows.append((full, "group"))
+            kind = probe(spark, f"{root}{full}")
+            if kind == "array":
+                m = stored(spark, f"{root}{full}").meta
+                rows.append((full, kind, m.type, list(m.dim), None if m.chunkdim is None else list(m.chunkdim), m.is_sparse))
+            elif kind == "group":
+                rows.append((full, kind, None, None, None, None))
                 todo += [full] * recursive
-    return spark.createDataFrame(rows, "name string, kind string")
+    out = spark.createDataFrame(rows, "name string, kind string, type string, dim array<bigint>, chunkdim array<bigint>, is_sparse boolean")
+    return out if details else out.select("name", "kind")
 
 
 def same_geometry(x: StoredArray, what: str) -> str | None:
@@ -253,37 +252,73 @@ def same_geometry(x: StoredArray, what: str) -> str | None:
     return f"{what}: the data have not the extents {x.meta.dim}" if bad else None
 
 
+def probe(spark: SparkSession, path: str) -> str | None:
+    """What is at path: ``array``, ``group`` (another folder), or None."""
+    files = Files(spark)
+    return "array" if files.exists(f"{path}/_array.json") else "group" if files.is_dir(path) else None
+
+
+def first_value(x: StoredArray) -> object:
+    """The value of the first cell (a zero that is not stored is None)."""
+    got = x.select([[1]] * x.meta.rank).cells.first() if x.meta.length else None
+    return None if got is None else got["val"]
+
+
 def move(x: StoredArray, path: str) -> StoredArray:
-    """The handle at another place, which must hold an array of the same extents."""
+    """The handle at another place, which must hold an array of the same extents and, if dense, the same first value."""
     y = stored(x.spark, path)
     if y.meta.dim != x.meta.dim:
         raise ValueError(f"{path} has extents {y.meta.dim}, not {x.meta.dim}")
+    if x.meta.is_sparse:
+        if path.rstrip("/") != x.path.rstrip("/"):
+            raise ValueError("a sparse array stays where it is")
+        return x
+    a, b = first_value(x), first_value(y)
+    if a != b and not (a != a and b != b):
+        raise ValueError(f"the array at {path} begins with {b!r}, not {a!r}")
     return y
 
 
+def _appended(x: GridArray, old: StoredArray, axis: int) -> None:
+    """Cells that continue old along an axis: a data folder more, which readers see with the manifest that names it."""
+    files, name = Files(old.spark), f"data-{uuid.uuid4().hex}"
+    moved = x.cells.withColumn(f"i{axis}", F.col(f"i{axis}") + F.lit(old.meta.dim[axis - 1])).withColumn("val", F.col("val").cast(TYPES[old.meta.type]))
+    moved.select(*old.meta.axes, "val").sortWithinPartitions(*reversed(old.meta.axes)).write.parquet(f"{old.path}/{name}")
+    dim = tuple(d + x.dim[k] if k == axis - 1 else d for k, d in enumerate(old.meta.dim))
+    publish(files, old.path, replace(old.meta, dim=dim, data=(*old.meta.data, name)))
+
+
 def append_columns(x: GridArray, path: str) -> None:
     """Add full columns to a sparse matrix at path, right behind those it has."""
-    spark, files = x.cells.sparkSession, Files(x.cells.sparkSession)
-    old = stored(spark, path)
+    old = stored(x.cells.sparkSession, path)
     if not old.meta.is_sparse or old.meta.layout != "csc" or x.dim[0] != old.meta.dim[0]:
         raise ValueError("only full columns go behind a matrix by columns")
-    moved = x.cells.where(is_nonzero(F.col("val"), x.type)).withColumn("i2", F.col("i2") + F.lit(old.meta.dim[1])).withColumn("val", F.col("val").cast(TYPES[old.meta.type]))
-    moved.select("i1", "i2", "val").sortWithinPartitions("i2", "i1").write.mode("append").parquet(f"{path}/data")
-    files.write(f"{path}/_array.json", replace(old.meta, dim=(old.meta.dim[0], old.meta.dim[1] + x.dim[1])).to_json())
-
-
-def from_compressed(spark: SparkSession, data: DataFrame, indptr: Sequence[int], dim: Sequence[int], layout: str = "csc", kind: str = "double") -> GridArray:
-    """A matrix of aligned vectors: data (k from 0, index from 0, value) and pointers, which are metadata of one number a column."""
-    from gridloom.operators.sparse import check_compressed
-
-    n = data.agg(F.count("value").alias("v"), F.count("index").alias("i"), F.count("*").alias("n")).first()
-    check_compressed(indptr, n.n, n.i)
-    ranges = spark.createDataFrame([(j + 1, a, b) for j, (a, b) in enumerate(zip(indptr, indptr[1:], strict=False)) if b > a], "_j long, _a long, _b long")
-    held = ranges.select("_j", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("k"))
-    cells = data.join(held, "k")
-    major, minor = F.col("_j"), F.col("index").cast("long") + 1
-    i, j = (minor, major) if layout == "csc" else (major, minor)
-    return GridArray(ArrayMeta(tuple(dim), kind, is_sparse=True, layout=layout), cells.select(i.alias("i1"), j.alias("i2"), F.col("value").cast(TYPES[kind]).alias("val")))
+    _appended(x.as_sparse(), old, 2)
+
+
+def append_values(x: GridArray, path: str) -> None:
+    """Add values behind those of a one-dimensional array at path; a dense one gets chunks of its own size from where it ends."""
+    spark = x.cells.sparkSession
+    old = stored(spark, path)
+    if old.meta.rank != 1 or x.meta.rank != 1:
+        raise ValueError("values go behind those of one axis")
+    if old.meta.is_sparse:
+        _appended(x.as_sparse(), old, 1)
+        return
+    whole = densify(x)
+    chunk = (old.meta.chunkdim or (CHUNK_LENGTH,))[0]
+    held, n = old.meta.dim[0], old.meta.dim[0] + x.dim[0]
+    # The chunk that the old values end in, if they do not fill it, is written anew with what it now holds.
+    full = held // chunk
+    rest = old.array().cells.where(F.col("i1") > full * chunk) if held % chunk else None
+    cells = whole.cells.select((F.col("i1") + held).alias("i1"), F.col("val").cast(TYPES[old.meta.type]).alias("val"))
+    cells = cells if rest is None else rest.unionByName(cells)
+    name = f"data-{uuid.uuid4().hex}"
+    chunks = to_chunks(GridArray(replace(old.meta, dim=(n,)), cells), (chunk,))
+    if rest is not None:
+        chunks = old.data.where(F.col("c1") < full).unionByName(chunks)
+    chunks.write.parquet(f"{path}/{name}")
+    publish(Files(spark), path, replace(old.meta, dim=(n,), data=(name,) if rest is not None else (*old.meta.data, name)))
 
 
 def dense_from_rows(df: DataFrame, row: str, values: str, width: int, rows: int, kind: str = "double") -> GridArray:

@@ -5,14 +5,13 @@ Extents are metadata. Where a table of keys gives them they are its greatest key
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.model import ArrayMeta, GridArray
+from gridloom.operators.select import between
 from gridloom.sources.store import dense_from_rows
 
-EVENT_TYPES_MOST = 10_000
-
 
 def _top(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1
@@ -24,9 +23,17 @@ def lines_matrix(spark: SparkSession, sf_dir: str, val: str = "l_quantity") -> G
     part, supplier = read("part"), read("supplier")
     dim = (_top(part, "p_partkey"), _top(supplier, "s_suppkey"))
     keys = [(F.col("l_partkey") + 1).alias("i1"), (F.col("l_suppkey") + 1).alias("i2")]
-    cells = read("lineitem").groupBy(*keys).agg(F.sum(F.expr(val)).alias("val"))
+
+    def cells(runs) -> DataFrame:
+        lines = read("lineitem")
+        for key, held in zip(("l_partkey", "l_suppkey"), runs, strict=True):
+            if held is not None:  # on the stored key, so that row groups are skipped
+                lines = lines.where(between(F.col(key), [(s - 1, n) for s, n in held]))
+        return lines.groupBy(*keys).agg(F.sum(F.expr(val)).alias("val"))
+
     label = lambda df, axis, k, name: df.select(F.lit(axis).alias("axis"), (F.col(k) + 1).alias("pos"), F.col(name).alias("label"))
-    return GridArray(ArrayMeta(dim, "double", is_sparse=True, layout="csc"), cells, label(part, 1, "p_partkey", "p_name").union(label(supplier, 2, "s_suppkey", "s_name")))
+    labels = label(part, 1, "p_partkey", "p_name").union(label(supplier, 2, "s_suppkey", "s_name"))
+    return GridArray(ArrayMeta(dim, "double", is_sparse=True, layout="csc"), cells([None, None]), labels, cells)
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> GridArray:
@@ -37,9 +44,9 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> GridArray:
 def event_counts(spark: SparkSession, sf_dir: str) -> GridArray:
     """Users by event types (in alphabetical order) by days of the month, counts."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    names = [r[0] for r in df.select("event_type").distinct().orderBy("event_type").limit(EVENT_TYPES_MOST + 1).collect()]
-    if len(names) > EVENT_TYPES_MOST:
-        raise ValueError(f"more than {EVENT_TYPES_MOST} event types")
-    code = F.array_position(F.lit(names), F.col("event_type")).cast("long")
+    # A code a type by rank, as the type's extent is the number of types; the few types are numbered where the frame is.
+    types = df.select("event_type").distinct().withColumn("_code", F.row_number().over(Window.orderBy("event_type")).cast("long"))
+    n_types, code = types.count(), F.col("_code")
+    df = df.join(types, "event_type")
     cells = df.groupBy((F.col("user_id") + 1).cast("long").alias("i1"), code.alias("i2"), F.dayofmonth("ts").cast("long").alias("i3")).agg(F.count("*").alias("val"))
-    return GridArray(ArrayMeta((_top(df, "user_id"), len(names), 31), "long", is_sparse=True), cells)
+    return GridArray(ArrayMeta((_top(df, "user_id"), n_types, 31), "long", is_sparse=True), cells)

@@ -7,7 +7,7 @@ import pytest
 from gridloom.functions.summaries import summary
 from gridloom.model import ArrayMeta, GridArray, UnsupportedTypeError
 from gridloom.operators import compute, select, shape, sparse
-from gridloom.sources import container, dump, labels, store
+from gridloom.sources import compressed, container, dump, labels, sinks, store
 from gridloom.streaming import append_stream, finish
 
 
@@ -92,8 +92,6 @@ def test_sparse(spark):
     full = local(select.densify(x))
     assert full[0, 1] == 0 and full[2, 2] is None and math.isnan(full[0, 3])
     assert select.sparsify(select.densify(x)).cells.count() == 5
-    with pytest.raises(ValueError):
-        sparse.check_compressed([0, 2], 3, 3)
 
 
 def test_along_and_blocks(spark):
@@ -172,8 +170,12 @@ def test_store_rules(spark, tmp_path):
     assert store.describe(spark, f"{tmp_path}/s").first().layout == "csc"
     assert store.normal_name("//x/y") == "/x/y" and store.chunk_shape((10_000, 10_000)) == (1000, 1000)
     data = spark.createDataFrame([(0, 0, 5.0), (1, 2, -2.0), (2, 1, 0.5)], "k long, index long, value double")
-    got = store.from_compressed(spark, data, [0, 2, 2, 3], (3, 3))
+    ends = lambda v: spark.createDataFrame(list(enumerate(v)), "pos long, value long")
+    got = compressed.from_compressed(data, ends([0, 2, 2, 3]), (3, 3))
     assert sorted(map(tuple, got.cells.collect())) == [(1, 1, 5.0), (2, 3, 0.5), (3, 1, -2.0)]
+    for wrong in ([0, 2, 3], [1, 2, 2, 3], [0, 2, 2, 4], [0, 3, 2, 3]):
+        with pytest.raises(ValueError):
+            compressed.from_compressed(data, ends(wrong), (3, 3))
 
 
 def test_labels(spark, tmp_path):
@@ -222,3 +224,93 @@ def test_dump_and_stream(spark, tmp_path):
     append_stream(cells, meta, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     finish(spark, meta, f"{tmp_path}/out")
     assert store.open_array(spark, f"{tmp_path}/out").cells.count() == 5
+
+
+def test_functions_that_are_not_zero_at_zero(spark):
+    x = small(spark)
+    dense = compute.elementwise(x, lambda v: v + 1)
+    assert not dense.is_sparse and dense.cells.count() == x.meta.length
+    got = local(dense)
+    assert got[0, 0] == 6.0 and got[1, 0] == 1.0 and got[2, 2] is None and math.isnan(got[0, 3])
+    assert compute.elementwise(x, lambda v: v * 3).is_sparse
+    y = sparse.transpose(sparse.transpose(x)).with_labels(None)
+    both = compute.combine(x, y, lambda a, b: a + b)
+    assert both.is_sparse and {(r.i1, r.i2): r.val for r in both.cells.where("val is not null and not isnan(val)").collect()} == {(1, 1): 10.0, (3, 1): -4.0, (2, 3): 1.0}
+    assert not compute.combine(x, y, lambda a, b: a + b + 1).is_sparse
+
+
+def test_runs_are_not_written_out(spark):
+    from gridloom.plans.selection import plan_axis
+
+    plan = plan_axis(9_000_000_000, 1000, [1, 5_000_000_000], [4_000_000_000, 10])
+    assert plan.order is None and plan.extent == 4_000_000_010 and plan.chunks == ((0, 4_000_000), (4_999_999, 2))
+    assert plan_axis(100, 10, range(5, 26)).runs == ((5, 21),) and plan_axis(100, 10, range(5, 26)).chunks == ((0, 3),)
+    assert plan_axis(100, 10, [3, 1, 1]).order == (3, 1, 1) and plan_axis(100, 10, [3, 4]).order is None
+    a = column_major(60, 10, 6)
+    got = select.select(array(spark, a), [[2, 5, 9], None], [[2, 1, 2], None])
+    assert (local(got) == a[[1, 2, 4, 8, 9], :]).all()
+
+
+def test_raw_keys_reach_the_scan(spark):
+    from gridloom.sources.tables import lines_matrix
+
+    plan = select.select(lines_matrix(spark, "/root/testdata/sf0.001"), [[9, 4], None]).cells._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_a_replace_that_fails_leaves_the_old_array(spark, tmp_path):
+    a = column_major(60, 10, 6)
+    store.write_array(array(spark, a), f"{tmp_path}/m", (5, 3))
+    broken = compute.elementwise(array(spark, a), lambda v: v / (v - v), "integer")
+    with pytest.raises(Exception):
+        store.write_array(broken, f"{tmp_path}/m", (5, 3), replace_old=True)
+    assert (local(store.open_array(spark, f"{tmp_path}/m")) == a).all()
+    store.write_array(compute.elementwise(store.open_array(spark, f"{tmp_path}/m"), lambda v: v + 1, "integer"), f"{tmp_path}/m", (5, 3), replace_old=True)  # reads what it replaces
+    assert (local(store.open_array(spark, f"{tmp_path}/m")) == a + 1).all()
+    assert sum(n.startswith("data") for n in store.Files(spark).names(f"{tmp_path}/m")) == 1
+
+
+def test_sinks(spark, tmp_path):
+    x = array(spark, column_major(6, 3, 2))
+    sink = sinks.DenseSink(spark, f"{tmp_path}/d", (6, 2), "integer")
+    sink.write_block([3, 0], x)
+    with pytest.raises(ValueError):
+        sink.write_block([4, 0], x)
+    with pytest.raises(ValueError):
+        sink.close()
+    sink.write_block([0, 0], x)
+    assert (local(sink.close()) == np.concatenate([column_major(6, 3, 2)] * 2)).all()
+    empty = sinks.ColumnSink(spark, f"{tmp_path}/s", (3, 5))
+    with pytest.raises(ValueError):
+        empty.close()
+    assert empty.write_block(1, small(spark)) == 1 - 5 / 15
+    assert empty.close().dim == (3, 5)
+    kept = sinks.realize(x, "", "memory")
+    assert (local(kept) == column_major(6, 3, 2)).all()
+    kept.cells.unpersist()
+
+
+def test_values_behind_a_vector(spark, tmp_path):
+    v = lambda n, at: array(spark, np.arange(at, at + n).astype(object))
+    store.write_array(v(7, 0), f"{tmp_path}/v", (3,))
+    for n, at in ((4, 7), (1, 11), (3, 12)):
+        store.append_values(v(n, at), f"{tmp_path}/v")
+    s = store.stored(spark, f"{tmp_path}/v")
+    assert s.meta.dim == (15,) and store.same_geometry(s, "v") is None and local(s.array()).tolist() == list(range(15))
+    assert select.as_array(s.array()).tolist() == list(range(15))
+
+
+def test_bound_labels_and_blocks(spark):
+    import pandas as pd
+
+    x = array(spark, column_major(6, 3, 2)).with_labels([["a", "b", "c"], ["x", "y"]])
+    got = {(r.axis, r.pos): r.label for r in shape.bind([x, x], 1).labels.collect()}
+    assert got == {(1, k): v for k, v in enumerate("abcabc", 1)} | {(2, 1): "x", (2, 2): "y"}
+    with pytest.raises(ValueError):
+        x.with_labels([["a"], None])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # blocks that go over batches
+    a = column_major(60, 10, 6)
+    f = lambda at, cells: pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "n": [len(cells)], "s": [int(cells["val"].sum())]})
+    got = {(r.bi, r.bj): (r.n, r.s) for r in compute.block_apply(array(spark, a), f, "bi long, bj long, n long, s long", [4, 5]).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, j): (a[4 * i : 4 * i + 4, 5 * j : 5 * j + 5].size, a[4 * i : 4 * i + 4, 5 * j : 5 * j + 5].sum()) for i in range(3) for j in range(2)}

@@ -417,7 +417,9 @@ def test_rare_words_have_weight_at_any_size():
     for n in (200, 3600):
         y = np.array([k % 2 for k in range(n)], float)
         rows = [np.array([7, 9] if k < 20 and not k % 2 else [9], np.int32) for k in range(n)]
-        assert quality_classifier.fit_view(rows, y, 16).weights[7] < 0
+        counts = np.array([np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == k]), minlength=16) for k in (0, 1)])
+        ratio = quality_classifier.ratios(counts, np.array([n / 2, n / 2]))
+        assert ratio[7] < -1 and quality_classifier.fit_content(rows, y, ratio).weights[7] < -1
 
 
 def test_the_cut_keeps_a_share_of_the_good():
@@ -425,10 +427,41 @@ def test_the_cut_keeps_a_share_of_the_good():
     model = quality_classifier.CoTrained(view, quality_classifier.View(np.zeros(1, np.float32), 0.0), 0.0)
     rows, none = [np.array([k]) for k in range(100)], [np.zeros(0, np.int32)] * 100
     found = quality_classifier.cut(model, rows, none, np.ones(100))
-    assert sum(model.score(r, none[0])[2] >= found for r in rows) == 95
+    assert (model.score(quality_classifier._flat(rows), quality_classifier._flat(none))[2] >= found).sum() == 95
     assert quality_classifier.cut(model, rows, none, np.zeros(100)) == quality_classifier.KEEP_FROM
 
 
+def test_views_teach_each_other_over_all_documents(spark):
+    """A word that no labelled row has is learned from pages whose source tells their quality, however many they are."""
+    rows, labels = [], []
+    for k in range(1500):
+        bad = k % 2
+        text = prose(k % 40, 30) + (" junkword" if bad and k < 300 else "") + (" newterm" if bad and k >= 300 else "")
+        rows.append((k, text, "en", "spam.example" if bad else "news.example"))
+        if k < 300:
+            labels.append((k, 1 - bad, 0))
+    df, lab = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    view = quality_classifier.fit(df, lab).content
+    slot = quality_classifier._word_bin(b"newterm")
+    features = quality_classifier.featured(quality_classifier.labelled(df, lab), "y")
+    first = quality_classifier._counts(features, None)
+    assert first[0][0][:, slot].sum() == 0 and first[0][1].sum() < 300
+    model = quality_classifier.fit(df, lab)
+    later = quality_classifier._counts(features, [model.content, model.meta])
+    assert later[0][0][0, slot] == 600 and later[0][1].sum() > 1300 and view is not None
+    # The counts of one pass are those of a plain loop over the rows.
+    bins = [(quality_classifier.content_features(t.encode()), quality_classifier.meta_features(s, g, len(t))) for _, t, g, s in rows]
+    p = [quality_classifier._probability(v.odds(*quality_classifier._flat([b[k] for b in bins]))) for k, v in enumerate((model.content, model.meta))]
+    known = {r.doc_id: r.y for r in quality_classifier.labelled(df, lab).select("doc_id", "y").collect()}
+    for k in range(2):
+        want = np.zeros((2, quality_classifier._VIEWS[k][1]), int)
+        for i, (b, q) in enumerate(zip(bins, p[1 - k], strict=True)):
+            y = known[i] if known[i] is not None else 1 if q >= 0.97 else 0 if q <= 0.03 else -1
+            if y in (0, 1):
+                want[y, b[k]] += 1
+        assert (later[k][0] == want).all()
+
+
 # ---- 8: shards
 
 

@@ -77,10 +77,12 @@ class Scratch:
             fs.delete(p, True)
 
 
-def hashed_sample(df: DataFrame, key: str, about: int, most: int | None = None) -> DataFrame:
-    """About ``about`` rows spread evenly by a hash of the key; never over ``most`` (twice that by default)."""
-    every = max(1, df.count() // max(1, about))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).limit(most or 2 * about)
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows whose keys have the least hashes: spread evenly, and the same however the table is dealt."""
+    rank = F.xxhash64(F.col(key), F.lit(7))
+    every = max(1, df.count() // max(1, 2 * most))  # only about twice as many rows are ranked
+    near = df.where(F.pmod(F.shiftrightunsigned(rank, 20), F.lit(every)) == 0)
+    return near.orderBy(rank, F.hash(key)).limit(most)
 
 
 def partitions_for(spark: SparkSession, least: int = 8) -> int:

@@ -1,7 +1,7 @@
 """Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact weighted similarity.
 
 Texts are lower-cased and cut into words at anything but letters and digits; five words in a row are a shingle (all
-words, if there are fewer). A shingle weighs as many letters as its words have, each word at most twelve. For an item of m
+words, if there are fewer). A shingle weighs as many letters as its words have (65,535 at most). For an item of m
 shingles, a document's windows are all runs of m of its shingles (the whole document, if it has fewer).
 
 1. Windows without any shingle of the benchmark have similarity zero. Only those around a shared shingle are built, but of
@@ -13,11 +13,11 @@ shingles, a document's windows are all runs of m of its shingles (the whole docu
 4. For pairs within the radius, the weighted Jaccard similarity is computed exactly; 0.75 or more is a leak. (Fingerprints
    of windows that just reach 0.75 differ in 11 bits on average, with a deviation of three: the radius is four deviations off.)
 
-All of it is built-in functions. The benchmark's tables are broadcast only if they have at most BROADCAST_ROWS rows.
+All of it is built-in functions. The benchmark's tables are broadcast only if they have at most BROADCAST_ROWS rows of a few numbers each.
 
 Null and empty texts have no shingles. An item of fewer than five words is found in a document only if it is all of
-it. Items of over 1000 words are looked up in parts. Null ids are kept; rows with equal id and text give one result.
-Extra columns are not read.
+it. Items and documents of any length are compared whole. Of windows that are equally similar the first is reported. Null ids are
+kept; rows with equal id and text give one result. Extra columns, whatever their names, are not read. An empty table on either side gives no leaks.
 """
 
 from __future__ import annotations
@@ -25,39 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, table
+from gridloom.llm.common import Scratch, helper, partitions_for, table
 
 THRESHOLD = 75  # per cent
 RADIUS = 23
 FLIPS = RADIUS // 8
 BLOCKS, BLOCK_BITS = 8, 8
-PART_WORDS = 1000
 BROADCAST_ROWS = 500_000
-_WEIGHT = "63L"
+_WEIGHT = "65535L"
 
 
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-#: Shingles of the words in w as hashes whose last six bits are zero, and the same with their weights in those bits.
-_GRAMS = """CASE WHEN size(w) >= 5 THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i+1], w[i+2], w[i+3], w[i+4]) & -64L)
-            WHEN size(w) > 0 THEN array(xxhash64(w) & -64L) ELSE array() END"""
-_LENGTH = "least(length({}), 12)"
-_WEIGHED = f"""CASE WHEN size(w) >= 5 THEN transform(g, (h, i) -> h | ({" + ".join(_LENGTH.format(f"w[i+{k}]") for k in range(5))}))
-              WHEN size(w) > 0 THEN transform(g, h -> h | aggregate(w, 0, (a, x) -> a + {_LENGTH.format("x")})) ELSE g END"""
+#: Shingles of the words in w as hashes whose last sixteen bits are zero, and the same with their weights in those bits.
+_GRAMS = """CASE WHEN size(w) >= 5 THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i+1], w[i+2], w[i+3], w[i+4]) & -65536L)
+            WHEN size(w) > 0 THEN array(xxhash64(w) & -65536L) ELSE array() END"""
+_WEIGHED = f"""CASE WHEN size(w) >= 5 THEN transform(g, (h, i) -> h | least({" + ".join(f"length(w[i+{k}])" for k in range(5))}, 65535))
+              WHEN size(w) > 0 THEN transform(g, h -> h | least(aggregate(w, 0L, (a, x) -> a + length(x)), 65535L)) ELSE g END"""
 
 
 def _grams(df: DataFrame) -> DataFrame:
     return df.withColumn("g", F.expr(_GRAMS))
 
 
-#: Weighted counts of all 64 bits over the shingles in d: sixteen longs of four 16-bit lanes, which 996 shingles of weight 60 cannot overflow.
-_LANES = f"""aggregate(d, array_repeat(0L, 16), (a, h) -> zip_with(a, sequence(0, 15),
-             (c, j) -> c + (shiftrightunsigned(xxhash64(h), j) & 281479271743489L) * (h & {_WEIGHT})))"""
+#: Weighted counts of all 64 bits over the shingles in d: 32 longs of two lanes, which no text's letters overflow.
+_LANES = f"""aggregate(d, array_repeat(0L, 32), (a, h) -> zip_with(a, sequence(0, 31),
+             (c, j) -> c + (shiftrightunsigned(xxhash64(h), j) & 4294967297L) * (h & {_WEIGHT})))"""
 #: The bits that more than half of the weight has.
 _MAJORITY = """aggregate(sequence(0, 63), 0L, (f, b) ->
-               f | if(2 * (shiftrightunsigned(lanes[b % 16], cast(16 * (b div 16) AS int)) & 65535L) > weight, shiftleft(1L, b), 0L))"""
+               f | if(2 * (shiftrightunsigned(lanes[b % 32], cast(32 * (b div 32) AS int)) & 4294967295L) > weight, shiftleft(1L, b), 0L))"""
 
 
 def _fingerprint(df: DataFrame) -> DataFrame:
@@ -74,10 +72,9 @@ def _if_small(df: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Items in parts, with distinct weighted shingles, size in shingles, and fingerprint."""
-    parts = f"transform(sequence(0, (size(v) - 1) div {PART_WORDS}), k -> slice(v, k * {PART_WORDS} + 1, {PART_WORDS}))"
-    words = benchmark.select(F.col(item_col).alias("item_id"), _words(text_col).alias("v")).where("size(v) > 0").select("item_id", F.explode(F.expr(parts)).alias("w"))
-    sized = _grams(words).withColumn("sh", F.expr(_WEIGHED)).select("item_id", F.size("sh").alias("m"), F.array_distinct("sh").alias("d"))
+    """Items with a number of their own, distinct weighted shingles, size in shingles, and fingerprint."""
+    words = benchmark.select(F.col(item_col).alias("item_id"), _words(text_col).alias("w")).where("size(w) > 0")
+    sized = _grams(words).withColumn("sh", F.expr(_WEIGHED)).select("item_id", F.monotonically_increasing_id().alias("item"), F.size("sh").alias("m"), F.array_distinct("sh").alias("d"))
     return _fingerprint(sized)
 
 
@@ -90,13 +87,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = scratch.keep(_items(benchmark, item_col, item_text_col), "items")
-    wanted = items.select(F.explode("d").alias("h"), "m").select((F.col("h").bitwiseAND(F.lit(-64))).alias("gram"), "m").groupBy("gram").agg(F.collect_set("m").alias("sizes"))
+    wanted = items.select(F.explode("d").alias("h"), "m").select((F.col("h").bitwiseAND(F.lit(-65536))).alias("gram"), "m").distinct()
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
 
     worded = keyed.select("doc_id", "th", _words("t").alias("w"))
     # The outer form: for the inner one, a filter on the array's size would be pushed down with the words split anew for each shingle.
     grams = _grams(worded).select("doc_id", "th", F.posexplode_outer("g").alias("pos", "gram"))
-    hits = grams.join(_if_small(wanted), "gram").select("doc_id", "th", "pos", F.explode_outer("sizes").alias("m"))
+    hits = grams.join(_if_small(wanted), "gram").select("doc_id", "th", "pos", "m")
     anchors = scratch.keep(hits.groupBy("doc_id", "th", "m").agg(F.collect_set("pos").alias("at")), "anchors")
 
     found = anchors.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
@@ -104,11 +101,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     texts = _grams(texts.select("doc_id", "th", _words("t").alias("w"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.expr(_WEIGHED).alias("sh"))
     around = anchors.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     starts = "array_distinct(flatten(transform(at, p -> sequence(greatest(0, least(p, size(sh) - m) - m + 1), least(p, greatest(0, size(sh) - m))))))"
+    # Dealt out anew: what is a few bytes before its windows are made is much work after.
+    around = around.select("doc_id", "th", "m", "sh", "at").repartition(partitions_for(spark))
     windows = around.select("doc_id", "th", "m", "sh", F.explode_outer(F.expr(starts)).alias("start"))
     windows = windows.select("doc_id", "th", "m", "start", F.expr("array_distinct(slice(sh, start + 1, m))").alias("d"))
     windows = scratch.keep(_fingerprint(windows), "windows")
 
-    probes = items.select("item_id", "m", F.col("d").alias("di"), F.col("weight").alias("wi"), F.col("fp").alias("fi"))
+    probes = items.select("item", "m", F.col("fp").alias("fi"))
     near = F.lit([x for x in range(1 << BLOCK_BITS) if x.bit_count() <= FLIPS]).cast("array<bigint>")
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("flip", F.explode(near))
     probes = probes.withColumn("value", F.expr(f"(shiftrightunsigned(fi, block * {BLOCK_BITS}) & 255L) ^ flip")).drop("flip")
@@ -117,6 +116,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     # A pair that meets in several blocks counts in the first of them.
     first = "CASE " + " ".join(f"WHEN bit_count((fp ^ fi) & shiftleft(255L, {BLOCK_BITS * b})) <= {FLIPS} THEN {b}" for b in range(BLOCKS)) + " END"
     pairs = looked.join(_if_small(probes), ["m", "block", "value"]).withColumn("distance", F.expr("bit_count(fp ^ fi)")).where(f"distance <= {RADIUS} AND block = {first}")
+    pairs = pairs.join(items.select("item", "item_id", F.col("d").alias("di"), F.col("weight").alias("wi")), "item")
     pairs = pairs.withColumn("common", F.expr(f"aggregate(array_intersect(d, di), 0L, (a, h) -> a + (h & {_WEIGHT}))"))
     leaks = pairs.withColumn("whole", F.expr("weight + wi - common")).where(f"100 * common >= {THRESHOLD} * whole")
     leaks = leaks.withColumn("similarity", F.col("common") / F.col("whole"))
@@ -126,8 +126,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark passage; all columns stay."""
-    leaks = _leaks(docs, benchmark, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__leak"), F.col("th").alias("__th")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("__leak")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_anti")
+    doc, th = helper("doc"), helper("text")
+    leaks = _leaks(docs, benchmark, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    return docs.join(leaks, docs[id_col].eqNullSafe(F.col(doc)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ Rows are put in order of their id (ties: checksum, then size; rows equal in all
 interchangeable). The order is cut into ranges of ids; each range's byte and row totals are
 summed first, the few totals are prefix-summed, and the running sums inside a range start from there.
 A row goes to the shard its middle byte falls into when the whole is cut at equal targets.
-Only ids, sizes and checksums are moved, never texts.
+Only ids, sizes and checksums are moved for that; :func:`place` then moves each row once, to its shard and slot.
 
-Nulls: a null text has no bytes, a null id sorts first. An empty table gives no rows.
-Other columns, whatever their names, are not touched by :func:`assign`.
+Nulls: a null text has no bytes, a null id sorts first. An empty table gives no rows. Repeated rows are told apart by a number, and may
+be in two shards if they stand at a cut. A text of any length is one row of its size. Other columns, whatever their names, stay as they are;
+:func:`place` replaces columns named shard and slot.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, partitions_for, table, utf8_bytes
+from gridloom.llm.common import Scratch, helper, partitions_for, table, utf8_bytes
 
 #: Bytes that each row takes besides its text (a length field).
 ROW_BYTES = 8
@@ -34,8 +35,9 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text
         F.col(id_col).alias("doc_id"),
         (utf8_bytes(text_col) + ROW_BYTES).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_tie"),  # so that alike rows, however many, need not be in one range
     )
-    key = (F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc())
+    key = (F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("_tie").asc())
     ranged = rows.repartitionByRange(partitions_for(spark), *key).withColumn("_range", F.spark_partition_id())
     # Written once: another run of the same plan could cut the ranges elsewhere.
     rows = Scratch(spark, "sharding").keep(ranged, "ranged")
@@ -66,15 +68,16 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_
 def place(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with shard and slot. Repeated rows take slots next to one another; columns of these names are replaced."""
     docs = docs.drop("shard", "slot")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), "__size": utf8_bytes(text_col) + ROW_BYTES})
-    # Rows that are alike in all three are told apart by a number, on both sides; they are interchangeable.
-    alike = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
-    keyed = keyed.withColumn("__k", alike("__id", "__crc", "__size"))
-    found = shard_documents(docs, n_shards, id_col, text_col)
-    found = found.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")))
-    found = found.select(F.col("doc_id").alias("__i"), F.col("text_crc32").alias("__c"), F.col("size").alias("__s"), "__n", "shard", F.col("slot").cast("long").alias("slot"))
-    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__crc") == F.col("__c")) & (F.col("__size") == F.col("__s")) & (F.col("__k") == F.col("__n"))
-    return keyed.join(found, on).select(*docs.columns, "shard", "slot")
+    key, n = helper("key"), helper("n")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), utf8_bytes(text_col) + ROW_BYTES))
+    found = shard_documents(docs, n_shards, id_col, text_col).select(F.xxhash64("doc_id", "text_crc32", "size").alias(key), "shard", F.col("slot").cast("long").alias("slot"))
+    found = Scratch(docs.sparkSession, "sharding").keep(found, "placed")
+    again = found.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(key)
+    one = keyed.join(again, key, "left_anti").join(found, key)
+    # Rows that are alike, mostly few, are numbered on both sides; they are interchangeable.
+    numbered = lambda df, *by: df.join(again, key, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    several = numbered(keyed, F.lit(0)).join(numbered(found, "shard", "slot"), [key, n])
+    return one.select(*docs.columns, "shard", "slot").unionByName(several.select(*docs.columns, "shard", "slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,8 @@ of id (nulls first; ties by text).
 A null or empty text has the end id alone. Rows with the same id stay separate documents. A text of any length is
 one frame. An empty table gives a store without segments. Columns besides id and text are not stored.
 
-Encoding goes word by word: normalization, split and merges of the tokenizers that are allowed here never reach
-across ASCII white space, so each worker has the tokenizers library encode a word when it first meets it.
-:func:`word_safe` refuses tokenizers for which that is not so.
+Whole texts are encoded by the tokenizers library. For a tokenizer of one known kind, whose rules never look across ASCII white space
+(:func:`word_safe`), each worker has the library encode a word when it first meets it and remembers its ids, which gives the same ids.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,7 +42,7 @@ FORMAT = "token-store-1"
 END_ID = 2
 #: Bounds of the sample that the dictionary is trained on, and of the dictionary.
 SAMPLE_DOCS = 1500
-SAMPLE_BYTES = 8 << 20
+SAMPLE_IDS = 2048  # of a document; at most 12 MB in all
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: A segment ends with the document that takes it over this many payload bytes or documents.
@@ -55,20 +55,36 @@ CACHE_WORD_BYTES = 64
 _SEGMENT_SCHEMA = "part int, seq int, first_id long, last_id long, ids array<bigint>, offsets array<int>, counts array<int>, before long, tokens long, payload binary"
 
 
+#: The cut of the lower-case word tokenizer, a fixed value: none of its parts matches white space or looks past what it matches.
+_WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def word_safe(spec: dict) -> bool:
-    """Whether a tokenizer's parts never join or look across ASCII white space, and drop it."""
+    """Whether a tokenizer is of the kind whose parts never join or look across ASCII white space, and drop it."""
     normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = normal.get("normalizers", [normal])
     first = (pre.get("pretokenizers") or [pre])[0]
-    model, pattern = spec.get("model") or {}, (first.get("pattern") or {}).get("Regex", "")
-    fixed = (  # what the lower-case word tokenizer has
-        all(s.get("type") in ("NFC", "Lowercase") or (s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " ") for s in steps),
-        first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True,
-        r"[^\s\p{L}\p{N}]+" in pattern and not any(x in pattern for x in ("(?=", "(?!", "(?<", " ?")),
-        not model.get("dropout"),
-        not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens", [])),
+    return (
+        all(s.get("type") in ("NFC", "Lowercase") or (s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " ") for s in steps)
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and (first.get("pattern") or {}).get("Regex") == _WORD_CUT
+        and [x.get("type") for x in pre.get("pretokenizers", [])[1:]] == ["ByteLevel"]
+        and not (spec.get("model") or {}).get("dropout")
+        and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens", []))
     )
-    return all(fixed)
+
+
+class TextEncoder:
+    """Serialized ids of whole texts by the library, for any tokenizer."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def encode(self, text: bytes | None) -> bytes:
+        return np.array(self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 class _Remembered(dict):
@@ -98,17 +114,12 @@ class WordEncoder:
     the machine's byte order, which has to be little-endian.
     """
 
-    _shared: dict[str, WordEncoder] = {}
     _LATIN = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
     _USUAL = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([-.,!?;:#*$%&|)\]]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = f.read()
-        if not word_safe(json.loads(spec)):
-            raise ValueError(f"{path}: words cannot be encoded one by one")
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.added = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
@@ -117,13 +128,6 @@ class WordEncoder:
         self.pieces = _Remembered(self._piece)
         self.words = _Remembered(self._word)
 
-    @classmethod
-    def shared(cls, path: str) -> WordEncoder:
-        """One encoder a worker process, so that words stay known from task to task."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
-
     def _ids(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
@@ -154,11 +158,24 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, (text or b"").split()))
 
 
+_encoders: dict[str, TextEncoder | WordEncoder] = {}
+
+
+def encoder_of(path: str) -> TextEncoder | WordEncoder:
+    """One encoder a process, so that words stay known from task to task."""
+    if path not in _encoders:
+        with open(path, encoding="utf-8") as f:
+            spec = f.read()
+        _encoders[path] = WordEncoder(spec) if word_safe(json.loads(spec)) else TextEncoder(spec)
+    return _encoders[path]
+
+
 def train_dictionary(frames: list[bytes]) -> bytes:
     """A zstandard dictionary from serialized id arrays; empty if they are too few to train on."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, frames).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as e:
+        warnings.warn(f"no dictionary could be trained on {len(frames)} documents ({e}); the store has an empty one", stacklevel=2)
         return b""
 
 
@@ -169,21 +186,21 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, and write the store at ``path`` (a folder that all executors reach)."""
     spark = docs.sparkSession
-    encoder = WordEncoder(tokenizer)
-    dtype = encoder.dtype
+    dtype = encoder_of(tokenizer).dtype
     end = np.array([end_id], dtype).tobytes()
-    sample, size = [], 0
-    for r in hashed_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", SAMPLE_DOCS).select("t").collect():
-        data = encoder.encode((r.t or "").encode()) + end
-        size += len(data)
-        if size > SAMPLE_BYTES:
-            break
-        sample.append(data)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, most = encoder_of(tokenizer), SAMPLE_IDS * int(dtype[-1])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([(words.encode(t) + end)[:most] for t in b.column(0).cast(pa.large_binary()).to_pylist()], pa.binary())], ["frame"])
+
+    sample = hashed_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", SAMPLE_DOCS).select("t")
+    sample = sample.mapInArrow(sampled, "frame binary").toArrow()["frame"].to_pylist()  # of bounded size
     dictionary = train_dictionary(sample)
     tag = hashlib.sha256(dictionary).hexdigest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder.shared(tokenizer)
+        words = encoder_of(tokenizer)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
         width = int(dtype[-1])
         part, seq, before = TaskContext.get().partitionId(), 0, 0

@@ -10,7 +10,9 @@ machine words, passed to the executors as a literal. Only a key's own longest ru
 end, from the listed keys of its cascade.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and fits no rule. Repeated rows are
-judged each by itself. An empty table gives no rows. No rule: every url gets the default verdict.
+judged each by itself. An empty table gives no rows. No rule: every url gets the default verdict. Where a block and an allow rule of
+one length fit, the url is allowed. A url of any length is judged whole. Other columns stay, but for those named host, path, rule and verdict, which are
+replaced. Levels are as large as their keys need; those of a list of a million keys are a few megabytes.
 """
 
 from __future__ import annotations
@@ -22,16 +24,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, table
+from gridloom.llm.common import Scratch, helper, table
 
 BLOCK = ("net/", "example.com/de/")
 ALLOW = ("example.net/en/", "org/fr/")
 #: Hash functions of a level.
 PROBES = 3
-#: Words of a level at most: 64 bits each. A level that would need more is built with this many; it makes more
-#: mistakes, which the next level takes up, so answers stay exact.
-MAX_WORDS = 1 << 17
-MAX_LEVELS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -93,11 +91,11 @@ class Cascade:
 def _level(keys: DataFrame, number: int, n: int, rate: float) -> Level:
     """One level over n distinct keys, at about the given rate of mistakes."""
     bits = max(64.0, -PROBES * n / math.log(1 - min(0.9, rate) ** (1 / PROBES)))
-    words = min(MAX_WORDS, 1 << math.ceil(math.log2(bits / 64)))
+    words = 1 << math.ceil(math.log2(bits / 64))
     slots = keys.select(F.explode(F.array(*_slots(F.col("key"), number, 64 * words))).alias("s"))
     set_bits = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")).alias("b"))
     filled = [0] * words
-    for r in set_bits.collect():  # at most MAX_WORDS rows
+    for r in set_bits.collect():  # as many rows as the level has words: a few bytes for each listed key, none for the corpus
         filled[r.w] = r.b
     return Level(number, tuple(filled))
 
@@ -115,8 +113,6 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     levels: list[Level] = []
     rate = n / (math.sqrt(2) * max(1, m))  # as short as a cascade gets in all
     while n:
-        if len(levels) >= MAX_LEVELS:
-            raise ValueError(f"the cascade still makes mistakes after {MAX_LEVELS} levels: too many keys for levels of {MAX_WORDS} words")
         level = _level(inside, len(levels) + 1, n, rate)
         levels.append(level)
         # What the level takes in by mistake is what the next one encodes.
@@ -130,27 +126,30 @@ def judge(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[str, ..
     spark = pages.sparkSession
     rules = sorted({*block, *allow})
     lengths = sorted({len(split_rule(r)[1]) for r in rules})
-    parts = pages.withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col))})
-    keys = candidate_keys(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>")
-    universe = Scratch(spark, "url_keys").keep(parts.select(F.explode(F.array_distinct(keys)).alias("key")).distinct(), "universe")
+    host, path, held, blocking, allowing = map(helper, ("host", "path", "keys", "block", "allow"))
+    parts = pages.withColumns({host: host_of(F.col(url_col)), path: path_of(F.col(url_col))})
+    keys = candidate_keys(F.col(host), F.col(path), lengths) if lengths else F.array().cast("array<string>")
+    scratch = Scratch(spark, "url_keys")
+    universe = scratch.keep(parts.select(F.explode(F.array_distinct(keys)).alias("key")).distinct(), "universe")
     frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "key string")
     listed = {"block": build_cascade(frame(block), universe), "allow": build_cascade(frame(allow), universe)}
+    scratch.drop("universe")
 
     def longest(c: Cascade) -> Column:
         # Of the keys that fit one url none are as long as another unless their hosts differ; more host, more key.
-        fits = F.filter(F.col("_keys"), lambda k: c.has(k))
+        fits = F.filter(F.col(held), lambda k: c.has(k))
         return F.reduce(fits, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
 
-    out = parts.withColumn("_keys", keys)
-    out = out.withColumns({"_block": longest(listed["block"]) if block else F.lit(None).cast("string"), "_allow": longest(listed["allow"]) if allow else F.lit(None).cast("string")})
-    allowed = F.col("_allow").isNotNull() & (F.col("_block").isNull() | (F.length("_allow") >= F.length("_block")))
-    blocked = F.col("_block").isNotNull() & ~allowed
+    out = parts.withColumn(held, keys)
+    out = out.withColumns({blocking: longest(listed["block"]) if block else F.lit(None).cast("string"), allowing: longest(listed["allow"]) if allow else F.lit(None).cast("string")})
+    allowed = F.col(allowing).isNotNull() & (F.col(blocking).isNull() | (F.length(allowing) >= F.length(blocking)))
+    blocked = F.col(blocking).isNotNull() & ~allowed
     return out.withColumns({
-        "host": F.col("_host"),
-        "path": F.col("_path"),
-        "rule": F.when(allowed, F.col("_allow")).when(blocked, F.col("_block")),
+        "host": F.col(host),
+        "path": F.col(path),
+        "rule": F.when(allowed, F.col(allowing)).when(blocked, F.col(blocking)),
         "verdict": F.when(allowed, F.lit("allow")).when(blocked, F.lit("block")).otherwise(F.lit(default)),
-    }).drop("_host", "_path", "_keys", "_block", "_allow")
+    }).drop(host, path, held, blocking, allowing)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

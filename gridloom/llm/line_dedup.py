@@ -8,8 +8,9 @@ null id comes first.
 1. Each line gets a one-permutation MinHash signature: its runs are hashed and dealt into 64 bins, each bin
    keeps the least, and an empty bin takes over that of the next full one. Sixteen bands of four bins are looked up: two lines at
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
-2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line. What is then
-   still in different components is paired up across components, each pair where its first equal band is.
+2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line, then each with the next
+   one in the order of other bands. What is then still in different components is paired up across components, each pair where its
+   first equal band is.
 3. Pairs whose sizes rule the threshold out, or whose finer MinHash sketches agree in far fewer bins than 0.75 lets expect
    (three deviations), are left out; all others are verified by their exact similarity. Verified links go through distributed union-find.
 
@@ -25,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, helper, partitions_for, table
@@ -35,6 +36,8 @@ THRESHOLD = 75  # per cent
 RUN = 8
 BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
+#: Rounds of neighbours: which bands behind a list's own order it.
+NEXT_BANDS = (1, 6)
 #: Bits of a bin in a signature. A band is one 64-bit number: its bins, side by side.
 BIN_BITS = 15
 #: Lines that meet in a band have a finer sketch as well: 240 bins of three bits, 15 to a number, each with a bit to spare.
@@ -313,6 +316,15 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
 
 
+def _neighbour_pairs(lists: DataFrame, lines: DataFrame, first: int) -> DataFrame:
+    """Each line with the next one of another component in each of its lists, which is ordered by two bands from the first-th behind its own on: what is next has most in common."""
+    band = lambda k: F.element_at("sig", F.pmod(F.col("token") + F.lit(k), F.lit(BANDS)).cast("int") + 1)
+    rows = lists.join(lines.select("line", "sig"), "line").select("token", "line", "comp", band(first).alias("p"), band(first + 1).alias("q"))
+    at = Window.partitionBy("token").orderBy("p", "q", "line")
+    met = rows.select("line", "comp", F.lead("line").over(at).alias("y"), F.lead("comp").over(at).alias("compy")).where("comp <> compy")
+    return met.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
+
+
 def _open_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a list and may link, each once: in its first equal band."""
     rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig", "sketch"), "line")
@@ -329,6 +341,9 @@ def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     done = grown(None, scratch.keep(_verified(_star_pairs(lists), lines), "links_star"), scratch, "comp_star")
     rest = scratch.keep(still_open(lists, done, "line"), "open")
+    for k in NEXT_BANDS:
+        done = grown(done, scratch.keep(_verified(_neighbour_pairs(rest, lines, k), lines), f"links_{k}"), scratch, f"comp_{k}")
+        rest = scratch.keep(still_open(rest, done, "line"), f"open_{k}")
     return grown(done, scratch.keep(_verified(_open_pairs(rest, lines), lines), "links_rest"), scratch, "comp_rest")
 
 

@@ -11,8 +11,10 @@ null id comes first.
 2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line, then each with the next
    one in the order of other bands. What is then still in different components is paired up across components, each pair where its
    first equal band is.
-3. Pairs whose sizes rule the threshold out, or whose finer MinHash sketches agree in far fewer bins than 0.75 lets expect
-   (three deviations), are left out; all others are verified by their exact similarity. Verified links go through distributed union-find.
+3. Pairs whose sizes rule the threshold out are left out, and so are those whose parity maps do: a run switches one of 1,024 bits,
+   so two lines have at least as many runs apart as bits, and no link is lost. Where both lines have more than a thousand runs, which
+   the maps tell less of, finer MinHash sketches must not agree in far fewer bins than 0.75 lets expect (three deviations). All others
+   are verified by their exact similarity. Verified links go through distributed union-find.
 
 Null and empty texts have no lines. Each row of the table is judged by itself, whether or not others have its id or its text: of
 equal rows one keeps its lines. A line of any length is one line. Columns besides id and text are carried along. An empty table gives no rows.
@@ -40,7 +42,10 @@ BANDS = BINS // ROWS
 NEXT_BANDS = (1, 6)
 #: Bits of a bin in a signature. A band is one 64-bit number: its bins, side by side.
 BIN_BITS = 15
-#: Lines that meet in a band have a finer sketch as well: 240 bins of three bits, 15 to a number, each with a bit to spare.
+#: Lines that meet in a band have a parity map as well, of 64 bits to a word.
+MAP_WORDS = 16
+#: Lines of more runs have a finer sketch too: 240 bins of three bits, 15 to a number, each with a bit to spare.
+SKETCH_FROM = 1000
 SKETCH_BITS, SKETCH_LANES, SKETCH_WORDS = 3, 15, 16
 SKETCH_BINS = SKETCH_LANES * SKETCH_WORDS
 _GUARDS = sum(8 << 4 * k for k in range(SKETCH_LANES))
@@ -50,6 +55,8 @@ FILTER_BITS = 26
 #: Characters of different lines that a worker signs at once, and rows it has in hand.
 CHARS_AT_ONCE, BLOCK_CHARS = 1_000_000, 30_000
 ROWS_AT_ONCE = 256
+#: What tells of two lines whether they may link.
+FACTS = ("n", "agree", "map", "sketch")
 _ODD = 0x9E3779B97F4A7C15
 _PROBES = (3, 33)
 _SPACES = " \t\n\r\x0b\x0c"
@@ -140,6 +147,15 @@ def sketches(lines: list[str]) -> np.ndarray:
     return _by_blocks(lines, lambda x: _packed(_least(x, SKETCH_BINS), SKETCH_WORDS, SKETCH_BITS, SKETCH_BITS + 1)) if lines else np.zeros((0, SKETCH_WORDS), np.int64)
 
 
+def parity_maps(lines: list[str]) -> np.ndarray:
+    """For each line, bits that each of its distinct runs switches once: two maps differ in no more bits than lines in runs."""
+    width = 64 * MAP_WORDS
+    sets = [run_set(x) for x in lines]
+    slot = np.repeat(np.arange(0, len(lines) * width, width), [len(x) for x in sets])
+    slot += (np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(width)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=len(lines) * width).astype(np.uint8) & 1).view(np.int64).reshape(-1, MAP_WORDS)
+
+
 def lines_of(text: str | None) -> list[str]:
     return [x.strip(_SPACES) for x in (text or "").split("\n")]
 
@@ -262,7 +278,7 @@ def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def _measured(lines: DataFrame) -> DataFrame:
-    """lines (line, words) with n, the distinct runs, agree, the equal bins that a partner's sketch must have, sig and sketch."""
+    """lines (line, words) with n, the distinct runs, agree, the equal bins that a partner's sketch must have, sig, map and sketch (null up to SKETCH_FROM runs)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,11 +286,15 @@ def _measured(lines: DataFrame) -> DataFrame:
                 part = b.slice(start, ROWS_AT_ONCE)
                 words = part.column("words").to_pylist()
                 n = np.array([len(run_set(x)) for x in words], np.int64)
+                long = n > SKETCH_FROM
+                fine = iter(sketches([x for x, k in zip(words, long, strict=True) if k]))
+                sketch = pa.array([next(fine).tolist() if k else None for k in long], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n, pa.int32()), pa.array(least_agreement(n), pa.int32()), _lists(signatures(words)), _lists(sketches(words))], ["line", "words", "n", "agree", "sig", "sketch"]
+                    [*part.columns, pa.array(n, pa.int32()), pa.array(least_agreement(n), pa.int32()), _lists(signatures(words)), _lists(parity_maps(words)), sketch],
+                    ["line", "words", "n", "agree", "sig", "map", "sketch"],
                 )
 
-    return lines.select("line", "words").mapInArrow(measure, "line long, words string, n int, agree int, sig array<long>, sketch array<long>")
+    return lines.select("line", "words").mapInArrow(measure, "line long, words string, n int, agree int, sig array<long>, map array<long>, sketch array<long>")
 
 
 def least_agreement(n: np.ndarray) -> np.ndarray:
@@ -284,13 +304,23 @@ def least_agreement(n: np.ndarray) -> np.ndarray:
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Whether lines x and y (n, agree, sketch with these suffixes) have sizes and sketches that a link can have."""
+    """Whether lines x and y (the columns FACTS with these suffixes) have sizes, maps and sketches that a link can have."""
+    apart = " + ".join(f"bit_count(map{x}[{k}] ^ map{y}[{k}])" for k in range(MAP_WORDS))
     unequal = " + ".join(f"bit_count(((sketch{x}[{k}] ^ sketch{y}[{k}]) + {_FULL}L) & {_GUARDS}L)" for k in range(SKETCH_WORDS))
-    return F.expr(f"100 * least(n{x}, n{y}) >= {THRESHOLD} * greatest(n{x}, n{y}) AND {SKETCH_BINS} - ({unequal}) >= least(agree{x}, agree{y})")
+    return F.expr(
+        f"100 * least(n{x}, n{y}) >= {THRESHOLD} * greatest(n{x}, n{y}) AND {100 + THRESHOLD} * ({apart}) <= {100 - THRESHOLD} * (n{x} + n{y}) "
+        f"AND coalesce({SKETCH_BINS} - ({unequal}) >= least(agree{x}, agree{y}), true)"
+    )
+
+
+def _possible(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link."""
+    of = lambda k: lines.select(F.col("line").alias(k), *(F.col(c).alias(c + k) for c in FACTS))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may link and do, by their exact similarity."""
+def _verified(may: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their exact similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,10 +333,8 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 good.append(100 * common >= THRESHOLD * (len(both) - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = lambda k, *c: lines.select(F.col("line").alias(k), *(F.col(x).alias(y) for x, y in c))
-    facts = lambda k: [(c, c + k) for c in ("n", "agree", "sketch")]
-    may = pairs.join(of("a", *facts("a")), "a").join(of("b", *facts("b")), "b").where(_may_link("a", "b")).select("a", "b")
-    return may.join(of("a", ("words", "wa")), "a").join(of("b", ("words", "wb")), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
+    of = lambda k: lines.select(F.col("line").alias(k), F.col("words").alias(f"w{k}"))
+    return may.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
@@ -327,8 +355,8 @@ def _neighbour_pairs(lists: DataFrame, lines: DataFrame, first: int) -> DataFram
 
 def _open_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a list and may link, each once: in its first equal band."""
-    rows = outside_largest(lists).join(lines.select("line", "n", "agree", "sig", "sketch"), "line")
-    side = lambda df, k: df.select("token", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "n", "agree", "sig", "sketch")))
+    rows = outside_largest(lists).join(lines.select("line", "sig", *FACTS), "line")
+    side = lambda df, k: df.select("token", *(F.col(c).alias(c + k) for c in ("line", "comp", "in_most", "sig", *FACTS)))
     first = "CASE " + " ".join(f"WHEN sigx[{k}] = sigy[{k}] THEN {k}" for k in range(BANDS)) + " END"
     met = side(rows.where("not in_most"), "x").join(side(rows, "y"), "token").where("compx <> compy AND (in_mosty OR linex < liney)")
     return met.where(F.expr(f"100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny) AND (token & {BANDS - 1}L) = {first}") & _may_link("x", "y")).select(F.least("linex", "liney").alias("a"), F.greatest("linex", "liney").alias("b"))
@@ -339,10 +367,10 @@ def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     lists = scratch.keep(_lists_of(found.where("sig is not null")), "lists")
     lines = scratch.keep(_measured(_texts(docs, lists.select("line").distinct())), "texts")
 
-    done = grown(None, scratch.keep(_verified(_star_pairs(lists), lines), "links_star"), scratch, "comp_star")
+    done = grown(None, scratch.keep(_verified(_possible(_star_pairs(lists), lines), lines), "links_star"), scratch, "comp_star")
     rest = scratch.keep(still_open(lists, done, "line"), "open")
     for k in NEXT_BANDS:
-        done = grown(done, scratch.keep(_verified(_neighbour_pairs(rest, lines, k), lines), f"links_{k}"), scratch, f"comp_{k}")
+        done = grown(done, scratch.keep(_verified(_possible(_neighbour_pairs(rest, lines, k), lines), lines), f"links_{k}"), scratch, f"comp_{k}")
         rest = scratch.keep(still_open(rest, done, "line"), f"open_{k}")
     return grown(done, scratch.keep(_verified(_open_pairs(rest, lines), lines), "links_rest"), scratch, "comp_rest")
 

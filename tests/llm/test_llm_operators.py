@@ -406,6 +406,24 @@ def test_line_dedup(spark, batch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_line_dedup_parity_maps_lose_no_link():
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghij klmno"))
+    for size, changes in ((9, 1), (40, 2), (90, 9), (400, 40), (3000, 300)):
+        for _ in range(40):
+            x = "".join(rng.choice(letters, size))
+            y = list(x)
+            for k in rng.integers(0, size, rng.integers(0, changes + 1)):
+                y[k] = "z"
+            p, q = line_dedup.run_set(x), line_dedup.run_set("".join(y))
+            a, b = line_dedup.parity_maps([x, "".join(y)])
+            differ = sum(bin(int(u) & (2**64 - 1)).count("1") for u in a ^ b)
+            assert differ <= len(np.setxor1d(p, q))
+            if size == 40 and 5 * len(np.setxor1d(p, q)) > len(p) + len(q):
+                assert 175 * differ > 25 * (len(p) + len(q))  # in short lines nearly every run counts: no pair below 2/3 passes
+    assert line_dedup.parity_maps([]).shape == (0, line_dedup.MAP_WORDS)
+
+
 def test_bands_and_signatures_find_lines_at_the_threshold():
     """Recall of pairs just over 0.75, of lines of 15 to 400 characters: figures of the README."""
     r, met, may, tried = random.Random(11), 0, 0, 0

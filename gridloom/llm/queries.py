@@ -39,6 +39,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_join": ngram_join.OP4_SQL,
+        "op8_sharding": sharding.OP8_SQL,
         "op6_url_filters": url_filters.OP6_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
     }

@@ -85,3 +85,28 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: What each bit of a byte, the lowest first, adds to a CRC-32.
+BIT_CRC = (0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320)
+_BYTE_CRC = "0"
+for _k, _v in enumerate(BIT_CRC):
+    _BYTE_CRC = f"xor({_BYTE_CRC}, ((xor(c, b) >> {_k}) & 1) * {_v})"
+
+OP8_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + {ROW_BYTES} AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(size - {ROW_BYTES}), lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::BIGINT)),
+      lambda c, b: xor(c >> 8, {_BYTE_CRC})), 4294967295) AS text_crc32
+  FROM rows
+), ends AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS whole FROM summed
+), placed AS (
+  SELECT *, ((2 * upto - size) * {SHARDS} // (2 * whole))::INT AS shard FROM ends
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, NULL::INT AS grown_shard
+FROM placed
+"""

@@ -789,3 +789,20 @@ def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ---- SQL twins of 4 and 8
+
+
+def test_sql_twins_of_join_and_shards(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(5)
+    words = [" ".join(r.choice(["Aa", "b", "ccc", "dé", "€"]) + str(r.randrange(40)) for _ in range(30)) for _ in range(6)]
+    texts = [*words, *[x + " end" for x in words], words[0], "two words", "two words", "", None, "\t ", "long " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    documents = docs.toArrow()  # noqa: F841 (the SQL reads it)
+    for sql, found in ((ngram_join.OP4_SQL, ngram_join.link_documents(docs)), (sharding.OP8_SQL, sharding.shard_documents(docs))):
+        names = [c for c in ("doc_id", "n_shingles", "component_id", "size", "text_crc32", "shard", "slot") if c in found.columns]
+        want = con.sql(sql).select(*names).fetchall()
+        assert sorted(want) == sorted(tuple(x) for x in found.select(*names).collect())

@@ -8,9 +8,9 @@ null id comes first.
 1. Each line gets a one-permutation MinHash signature: its runs are hashed and dealt into 64 bins, each bin
    keeps the least, and an empty bin takes over that of the next full one. Sixteen bands of four bins are looked up: two lines at
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
-2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line, then each with the next
-   one in the order of other bands. What is then still in different components is paired up across components, each pair where its
-   first equal band is.
+2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line, which leaves the list
+   then, as all its pairs there are decided. The others are compared each with the next one in the order of other bands. What is
+   then still in different components is paired up across components, each pair where its first equal band is.
 3. Pairs whose sizes rule the threshold out are left out, and so are those whose parity maps do: a run switches one of 1,024 bits,
    so two lines have at least as many runs apart as bits, and no link is lost. Where both lines have more than a thousand runs, which
    the maps tell less of, finer MinHash sketches must not agree in far fewer bins than 0.75 lets expect (three deviations). All others
@@ -337,11 +337,15 @@ def _verified(may: DataFrame, lines: DataFrame) -> DataFrame:
     return may.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Each line with the centre of each of its lists, the line that most slices of the table hold."""
+def _around_centres(lists: DataFrame) -> DataFrame:
+    """(token, line, y): each line of a list but its centre y, the line that most slices of the table hold."""
     by = F.expr(f"shiftleft(least(c, {1 << 20}), 40) + (line & {(1 << 40) - 1}L)")
-    met = lists.join(lists.groupBy("token").agg(F.max_by("line", by).alias("y")), "token").where("line <> y")
-    return met.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
+    return lists.join(lists.groupBy("token").agg(F.max_by("line", by).alias("y")), "token").where("line <> y").select("token", "line", "y")
+
+
+def _star_pairs(around: DataFrame) -> DataFrame:
+    """Each line with the centre of each of its lists."""
+    return around.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
 
 
 def _neighbour_pairs(lists: DataFrame, lines: DataFrame, first: int) -> DataFrame:
@@ -367,8 +371,10 @@ def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     lists = scratch.keep(_lists_of(found.where("sig is not null")), "lists")
     lines = scratch.keep(_measured(_texts(docs, lists.select("line").distinct())), "texts")
 
-    done = grown(None, scratch.keep(_verified(_possible(_star_pairs(lists), lines), lines), "links_star"), scratch, "comp_star")
-    rest = scratch.keep(still_open(lists, done, "line"), "open")
+    around = scratch.keep(_around_centres(lists), "around")
+    done = grown(None, scratch.keep(_verified(_possible(_star_pairs(around), lines), lines), "links_star"), scratch, "comp_star")
+    # Every pair with a centre is decided by now, so that lists go on without theirs, and a list of two lines is done.
+    rest = scratch.keep(still_open(around.select("token", "line"), done, "line"), "open")
     for k in NEXT_BANDS:
         done = grown(done, scratch.keep(_verified(_possible(_neighbour_pairs(rest, lines, k), lines), lines), f"links_{k}"), scratch, f"comp_{k}")
         rest = scratch.keep(still_open(rest, done, "line"), f"open_{k}")

@@ -9,7 +9,7 @@ null id comes first.
    keeps the least, and an empty bin takes over that of the next full one. Sixteen bands of four bins are looked up: two lines at
    0.75 meet in one with probability 0.998, at 0.85 with 0.99999.
 2. Equal lines are one node. In each band list all lines are compared with one centre, the commonest line, which leaves the list
-   then, as all its pairs there are decided. The others are compared each with the next one in the order of other bands. What is
+   then, as all its pairs there are decided. The others are compared each with the next one in two orders, by other bands. What is
    then still in different components is paired up across components, each pair where its first equal band is.
 3. Pairs whose sizes rule the threshold out are left out, and so are those whose parity maps do: a run switches one of 1,024 bits,
    so two lines have at least as many runs apart as bits, and no link is lost. Where both lines have more than a thousand runs, which
@@ -38,7 +38,7 @@ THRESHOLD = 75  # per cent
 RUN = 8
 BINS, ROWS = 64, 4
 BANDS = BINS // ROWS
-#: Rounds of neighbours: which bands behind a list's own order it.
+#: Orders of neighbours: from which band behind a list's own on.
 NEXT_BANDS = (1, 6)
 #: Bits of a bin in a signature. A band is one 64-bit number: its bins, side by side.
 BIN_BITS = 15
@@ -348,12 +348,15 @@ def _star_pairs(around: DataFrame) -> DataFrame:
     return around.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
 
 
-def _neighbour_pairs(lists: DataFrame, lines: DataFrame, first: int) -> DataFrame:
-    """Each line with the next one of another component in each of its lists, which is ordered by two bands from the first-th behind its own on: what is next has most in common."""
+def _neighbour_pairs(lists: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each line with the next one of another component in each of its lists, which is ordered by two bands behind its own, from each of NEXT_BANDS on: what is next has most in common."""
     band = lambda k: F.element_at("sig", F.pmod(F.col("token") + F.lit(k), F.lit(BANDS)).cast("int") + 1)
-    rows = lists.join(lines.select("line", "sig"), "line").select("token", "line", "comp", band(first).alias("p"), band(first + 1).alias("q"))
-    at = Window.partitionBy("token").orderBy("p", "q", "line")
-    met = rows.select("line", "comp", F.lead("line").over(at).alias("y"), F.lead("comp").over(at).alias("compy")).where("comp <> compy")
+    orders = [c for k in NEXT_BANDS for c in (band(k).alias(f"p{k}"), band(k + 1).alias(f"q{k}"))]
+    rows = lists.join(lines.select("line", "sig"), "line").select("token", "line", "comp", *orders)
+    at = [Window.partitionBy("token").orderBy(f"p{k}", f"q{k}", "line") for k in NEXT_BANDS]
+    after = [F.lead(F.struct(F.col("line").alias("y"), F.col("comp").alias("compy"))).over(w) for w in at]
+    both = rows.select("line", "comp", F.array(*after).alias("after")).select("line", "comp", F.explode("after").alias("z"))
+    met = both.select("line", "comp", "z.*").where("comp <> compy")
     return met.select(F.least("line", "y").alias("a"), F.greatest("line", "y").alias("b")).distinct()
 
 
@@ -375,9 +378,8 @@ def _linked(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     done = grown(None, scratch.keep(_verified(_possible(_star_pairs(around), lines), lines), "links_star"), scratch, "comp_star")
     # Every pair with a centre is decided by now, so that lists go on without theirs, and a list of two lines is done.
     rest = scratch.keep(still_open(around.select("token", "line"), done, "line"), "open")
-    for k in NEXT_BANDS:
-        done = grown(done, scratch.keep(_verified(_possible(_neighbour_pairs(rest, lines, k), lines), lines), f"links_{k}"), scratch, f"comp_{k}")
-        rest = scratch.keep(still_open(rest, done, "line"), f"open_{k}")
+    done = grown(done, scratch.keep(_verified(_possible(_neighbour_pairs(rest, lines), lines), lines), "links_next"), scratch, "comp_next")
+    rest = scratch.keep(still_open(rest, done, "line"), "open_next")
     return grown(done, scratch.keep(_verified(_open_pairs(rest, lines), lines), "links_rest"), scratch, "comp_rest")
 
 

@@ -347,12 +347,10 @@ def nchar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_S} SELECT (i - 1) // 100 AS bi, (j - 1) // 10 AS bj, sum(v) AS total FROM S GROUP BY 1, 2")
 def block_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and tasks as the settings have them: 1,000 cells, in the shape of the array."""
-    import pandas as pd
-
     settings = Settings(block_cells=1000, workers=3)
     x = S(spark, sf_dir)
     block = [100, 10] if settings.block((1000, 100)) == (100, 10) else None
-    return compute.block_apply(x, lambda at, cells: pd.DataFrame({"bi": [at[0]], "bj": [at[1]], "total": [cells["val"].sum()]}), "bi long, bj long, total double", block, settings)
+    return compute.block_apply(x, lambda at, cells: [(*at, cells["val"].sum())], "bi long, bj long, total double", block, settings, plain=True)
 
 
 @query(f"WITH {_S}, {_GRID} SELECT i, max(coalesce(v, 0)) AS hi, min(coalesce(v, 0)) AS lo FROM g LEFT JOIN S USING (i, j) GROUP BY 1")

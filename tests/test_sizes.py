@@ -31,3 +31,32 @@ def test_dense_beyond_two_thousand_million_cells(spark):
     assert full.meta.length == 3_000_000_000 and "SortMergeJoin" not in full.cells._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         select.densify(x, limit=10)
+
+
+def test_blocks_without_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # blocks that go over batches
+    rows = [(i, j, None if (i, j) == (1, 1) else float(10 * i + j)) for i in range(1, 8) for j in range(1, 6) if (i + j) % 4]
+    x = stored_cells(spark, (7, 5), rows)
+    f = lambda at, cells: [(*at, len(cells["val"]), int(cells["missing"].sum()), float(np.nansum(cells["val"])), int(cells["i1"].max()))]
+    out = compute.block_apply(x, f, "bi long, bj long, n long, missing long, s double, top long", [3, 2], plain=True)
+    want = {}
+    for i, j, v in rows:
+        n, missing, s, top = want.get(((i - 1) // 3, (j - 1) // 2), (0, 0, 0.0, 0))
+        want[(i - 1) // 3, (j - 1) // 2] = n + 1, missing + (v is None), s + (v or 0.0), max(top, (i - 1) % 3 + 1)
+    try:
+        assert {(r.bi, r.bj): tuple(r)[2:] for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_small_blocks_are_shared_out(spark):
+    x = stored_cells(spark, (1000, 10), [(i, 1, 1.0) for i in range(1, 1001)])
+    out = compute.block_apply(x, lambda at, cells: [(at[0], len(cells["val"]))], "b long, n long", [1, 1], plain=True)
+    assert out.rdd.getNumPartitions() == 4 and sorted(map(tuple, out.collect())) == [(k, 1) for k in range(1000)]
+
+
+def test_sum_of_no_stored_value_is_missing(spark):
+    x = stored_cells(spark, (4, 4), [(1, 1, 2.0), (2, 2, None)])
+    assert compute.summarize(x, "sum", [[3], [4]], stored=True).first()[0] is None
+    assert compute.summarize(x, "sum", [[1], [1]], stored=True).first()[0] == 2.0
+    assert compute.summarize(x, "sum", [[3], [4]]).first()[0] == 0.0

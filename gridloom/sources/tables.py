@@ -13,6 +13,11 @@ from gridloom.operators.select import between
 from gridloom.sources.store import dense_from_rows
 
 
+#: Lines that a task sums up about, and the number up to which Spark deals them as it likes.
+TASK_LINES = 1 << 19
+FEW_LINES = 1 << 21
+
+
 def _top(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1
 
@@ -22,6 +27,9 @@ def lines_matrix(spark: SparkSession, sf_dir: str, val: str = "l_quantity") -> G
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     part, supplier = read("part"), read("supplier")
     dim = (_top(part, "p_partkey"), _top(supplier, "s_suppkey"))
+    # Few lines of a cell stand near one another, so sums before the shuffle save little and hold a file's cells; many lines are dealt first, to as many tasks as they need.
+    n = read("lineitem").count()  # from Parquet's footers
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_LINES)) if n > FEW_LINES else None
     keys = [(F.col("l_partkey") + 1).alias("i1"), (F.col("l_suppkey") + 1).alias("i2")]
 
     def cells(runs) -> DataFrame:
@@ -29,7 +37,10 @@ def lines_matrix(spark: SparkSession, sf_dir: str, val: str = "l_quantity") -> G
         for key, held in zip(("l_partkey", "l_suppkey"), runs, strict=True):
             if held is not None:  # on the stored key, so that row groups are skipped
                 lines = lines.where(between(F.col(key), [(s - 1, n) for s, n in held]))
-        return lines.groupBy(*keys).agg(F.sum(F.expr(val)).alias("val"))
+        rows = lines.select(*keys, F.expr(val).alias("_v"))
+        if tasks:
+            rows = rows.repartition(tasks, "i1", "i2")
+        return rows.groupBy("i1", "i2").agg(F.sum("_v").alias("val"))
 
     label = lambda df, axis, k, name: df.select(F.lit(axis).alias("axis"), (F.col(k) + 1).alias("pos"), F.col(name).alias("label"))
     labels = label(part, 1, "p_partkey", "p_name").union(label(supplier, 2, "s_suppkey", "s_name"))

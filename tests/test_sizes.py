@@ -73,3 +73,28 @@ def test_products_are_not_shuffled(spark):
     assert got == {(int(i) + 1, int(j) + 1): want[i, j] for i, j in np.argwhere((a != 0).astype(int).T @ (a != 0).astype(int))}
     plan = out.cells._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(i1" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(i1" in line and "i2" in line.split("hashpartitioning(i1")[1]]
+
+
+def test_local_arrays_come_as_runs(spark):
+    a = np.arange(6000.0).reshape(60, 100)
+    for order in ("C", "F"):
+        rows = sorted(((i + 1, j + 1, float(a[i, j])) for i in range(60) for j in range(100)), key=lambda r: r[:2] if order == "C" else r[1::-1])
+        x = GridArray(ArrayMeta(a.shape), spark.createDataFrame(rows, "i1 long, i2 long, val double").coalesce(1))
+        assert (select.as_array(x) == a).all()
+        runs = x.cells.mapInArrow(select._runs_of_cells(x.meta.axes, x.dim), "by_rows boolean, at long, vals array<double>").collect()
+        assert len(runs) == 1 and runs[0].by_rows == (order == "C")
+    x = GridArray(ArrayMeta((2, 2), "character"), spark.createDataFrame([(2, 1, None), (1, 2, "b"), (1, 1, "a"), (2, 2, "")], "i1 long, i2 long, val string"))
+    assert select.as_array(x).tolist() == [["a", "b"], [None, ""]]
+
+
+def test_many_lines_are_dealt_before_they_are_summed(spark, tmp_path, monkeypatch):
+    from gridloom.sources import tables
+
+    monkeypatch.setattr(tables, "FEW_LINES", 10)
+    monkeypatch.setattr(tables, "TASK_LINES", 10)
+    spark.range(20).selectExpr("id as p_partkey", "'p' as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(5).selectExpr("id as s_suppkey", "'s' as s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(100).selectExpr("id % 20 as l_partkey", "id % 5 as l_suppkey", "double(id) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    x = tables.lines_matrix(spark, str(tmp_path))
+    assert x.cells.rdd.getNumPartitions() == 10
+    assert {(r.i1, r.i2): r.val for r in x.cells.collect()} == {(p + 1, p % 5 + 1): 5.0 * p + 200 for p in range(20)}

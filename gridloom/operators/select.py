@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.model import ArrayMeta, GridArray, from_linear, is_nonzero, linear_index, zero_of
+from gridloom.model import TYPES, ArrayMeta, GridArray, from_linear, is_nonzero, linear_index, zero_of
 from gridloom.plans.selection import MAX_RUNS, AxisPlan, Positions, SelectionError, plan_axis
 
 #: Selected positions of an axis that are sent to all executors at most; more are joined by a shuffle.
@@ -144,19 +144,51 @@ def sparsify(x: GridArray) -> GridArray:
     return GridArray(replace(x.meta, is_sparse=True), x.cells.where(is_nonzero(F.col("val"), x.type)), x.labels)
 
 
+def _runs_of_cells(axes: Sequence[str], dim: Sequence[int]):
+    """Batches of cells to runs (by_rows, at, vals): values one behind the other from the linear position at, in the order, by rows or by columns, that has fewer runs."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = [b.column(a).to_numpy() - 1 for a in axes]
+            found = []
+            for order in "CF":
+                line = np.ravel_multi_index(at, dim, order=order)
+                found.append((line, np.flatnonzero(np.diff(line) != 1) + 1))
+            by_rows = len(found[0][1]) <= len(found[1][1])
+            line, cuts = found[0 if by_rows else 1]
+            starts = np.concatenate([[0], cuts])
+            vals = pa.ListArray.from_arrays(pa.array(np.append(starts, b.num_rows), pa.int32()), b.column("val"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), by_rows)), pa.array(line[starts], pa.int64()), vals], ["by_rows", "at", "vals"])
+
+    return run
+
+
 def as_array(x: GridArray, limit: int = 50_000_000):
-    """The array as a local numpy array, if it has at most ``limit`` cells; missing values are None (NaN for doubles)."""
+    """The array as a local numpy array, if it has at most ``limit`` cells; missing values are None (NaN for doubles).
+
+    Values come in runs of neighbours, so that the driver gets little more than the values themselves.
+    """
     import numpy as np
 
     if x.meta.length > limit:
         raise ValueError(f"{x.meta.length} cells; a local array may have {limit}")
     kinds = {"double": float, "integer": np.int32, "long": np.int64, "raw": np.uint8}
-    rows = x.cells.toArrow()
-    val = rows["val"]
-    whole = x.type == "double" or x.type in kinds and not val.null_count
+    cells = x.cells.select(*(F.col(a).cast("long").alias(a) for a in x.meta.axes), "val")
+    rows = cells.mapInArrow(_runs_of_cells(x.meta.axes, x.dim), f"by_rows boolean, at long, vals array<{TYPES[x.type]}>").toArrow()
+    whole = x.type == "double" or x.type in kinds and not any(c.values.null_count for c in rows["vals"].chunks)
     out = np.zeros(x.dim, kinds[x.type]) if whole else np.full(x.dim, {"logical": False, "character": ""}.get(x.type, 0), object)
-    at = tuple(rows[a].to_numpy() - 1 for a in x.meta.axes)
-    out[at] = val.to_numpy() if whole else np.array(val.to_pylist(), object)
+    for b in rows.to_batches():
+        n = b.column("vals").value_lengths().to_numpy()
+        line = np.repeat(b.column("at").to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        by_rows = np.repeat(b.column("by_rows").to_numpy(zero_copy_only=False), n)
+        val = b.column("vals").flatten()
+        val = val.to_numpy(zero_copy_only=False) if whole else np.array([*val.to_pylist(), None], object)[:-1]
+        for order, of in (("C", by_rows), ("F", ~by_rows)):
+            out[np.unravel_index(line[of], x.dim, order=order)] = val[of]
     return out
 
 
@@ -172,6 +204,4 @@ def positions_of(x: GridArray, axis: int, wanted: Sequence[str]) -> list[int]:
 
 
 def empty_like(meta: ArrayMeta, spark) -> DataFrame:
-    from gridloom.model import TYPES
-
     return spark.createDataFrame([], ", ".join(f"{a} long" for a in meta.axes) + f", val {TYPES[meta.type]}")

@@ -66,18 +66,25 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_
 
 
 def place(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with shard and slot. Repeated rows take slots next to one another; columns of these names are replaced."""
+    """docs with shard and slot. Repeated rows take slots next to one another; columns of these names are replaced.
+
+    Rows alike in id, checksum and size stand together in the order, so a key with the first places it has in each of its shards says where all its rows go:
+    the n-th of them, they are interchangeable, takes the n-th place. One shuffle by key thus numbers the rows and brings their places: texts are moved once.
+    """
     docs = docs.drop("shard", "slot")
-    key, n = helper("key"), helper("n")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), utf8_bytes(text_col) + ROW_BYTES))
-    found = shard_documents(docs, n_shards, id_col, text_col).select(F.xxhash64("doc_id", "text_crc32", "size").alias(key), "shard", F.col("slot").cast("long").alias("slot"))
+    key, n, pieces, piece = (helper(k) for k in ("key", "n", "pieces", "piece"))
+    placed = assign(docs, n_shards, id_col, text_col)
+    first = F.broadcast(placed.groupBy("shard").agg(F.min("_row").alias("_first")))  # one row a shard
+    found = placed.select(F.struct("doc_id", "text_crc32", "size").alias(key), "shard", "_row").repartition(partitions_for(docs.sparkSession), key)
+    found = found.groupBy(key, "shard").agg(F.min("_row").alias("_from")).join(first, "shard")
+    found = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_from", "shard", (F.col("_from") - F.col("_first")).alias("slot")))).alias(pieces))
     found = Scratch(docs.sparkSession, "sharding").keep(found, "placed")
-    again = found.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(key)
-    one = keyed.join(again, key, "left_anti").join(found, key)
-    # Rows that are alike, mostly few, are numbered on both sides; they are interchangeable.
-    numbered = lambda df, *by: df.join(again, key, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*by)))
-    several = numbered(keyed, F.lit(0)).join(numbered(found, "shard", "slot"), [key, n])
-    return one.select(*docs.columns, "shard", "slot").unionByName(several.select(*docs.columns, "shard", "slot"))
+    of_row = F.struct(F.col(id_col).alias("doc_id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), (utf8_bytes(text_col) + ROW_BYTES).alias("size"))
+    of_row = of_row.cast(found.schema[key].dataType)  # of one type on both sides, or the join would deal the texts again
+    numbered = docs.withColumn(key, of_row).withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) - 1)
+    row = F.element_at(pieces, 1)["_from"] + F.col(n)
+    out = numbered.join(found, key).withColumn(piece, F.element_at(F.filter(pieces, lambda p: p["_from"] <= row), -1))
+    return out.select(*docs.columns, F.col(f"{piece}.shard").alias("shard"), (F.col(f"{piece}.slot") + row - F.col(f"{piece}._from")).cast("long").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

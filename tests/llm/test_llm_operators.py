@@ -806,3 +806,18 @@ def test_sql_twins_of_join_and_shards(spark):
         names = [c for c in ("doc_id", "n_shingles", "component_id", "size", "text_crc32", "shard", "slot") if c in found.columns]
         want = con.sql(sql).select(*names).fetchall()
         assert sorted(want) == sorted(tuple(x) for x in found.select(*names).collect())
+
+
+def test_texts_are_moved_once_to_their_shards(spark):
+    rows = [(k % 7 if k % 5 else None, f"text {k % 3}") for k in range(60)] + [(3, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        placed = sharding.place(df, 4)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        got = placed.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("LogicalRDD") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+    want = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(df, 4).collect())
+    assert collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in got) == want
